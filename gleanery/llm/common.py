@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,11 +40,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it.
 
     This cuts the lineage, so a lost executor costs a re-read, not the jobs
-    before; and what reads it twice computes it once.
+    before; and what reads it twice computes it once. The driver's garbage is
+    collected, as Spark then drops the shuffle files of the jobs behind it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
