@@ -57,14 +57,21 @@ def arrow_bounds(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text), null text as empty; other columns go, whatever their names."""
+def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, text), null text as empty; other columns go, whatever their names, but for `more`."""
     return df.select(
+        *more,
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
 
 
+def carried(docs: DataFrame, carry: bool, own: list[str]) -> list[Column]:
+    """All columns of docs but `own`, as one column _given, if they are to be carried along."""
+    names = [c for c in docs.columns if c not in own]
+    return [F.struct(*(F.col(f"`{c}`") for c in names)).alias("_given")] if carry and names else []
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

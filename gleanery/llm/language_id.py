@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_bounds
+from .common import arrow_bounds, carried
 from .near_dup import mixed
 
 #: Labelled documents of each language to learn from, and n-grams of each language to hold.
@@ -142,12 +143,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Filters(languages, grams)
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text, one row for each row of docs.
 
     A text that is null or without a letter is `und` with the score 0; without
     learned languages all are. Very long texts are looked at in overlapping
-    slices. Only doc_id and text are read.
+    slices. Only doc_id and text are read; with `carry` all columns come along
+    in the struct _given.
     """
     arrow_bounds(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
@@ -161,7 +163,9 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
                 pa.array([x for x, _ in found], pa.string()),
                 pa.array([x for _, x in found], pa.float64()),
             ]
-            yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([b.column("doc_id"), *columns, *map(b.column, more)], ["doc_id", "held_out", "lang_pred", "score", *more])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried(docs, carry, []))
+    more = [c for c in base.columns if c == "_given"]
+    kinds = {"doc_id": T.LongType(), "held_out": T.BooleanType(), "lang_pred": T.StringType(), "score": T.DoubleType()}
+    return base.mapInArrow(run, T.StructType([*(T.StructField(c, k) for c, k in kinds.items()), *(base.schema[c] for c in more)]))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, id_text, salted_left_join, staged
+from .common import WORD, carried, documents, id_text, salted_left_join, staged
 
 MAX_EDITS = 1
 #: Shorter lines (in code points) are left as they are.
@@ -182,17 +182,24 @@ def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MI
 def deduplicate(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `removed`, `n_exact`, `n_near` and `cleaned`: the text without the lines that go.
 
-    See duplicate_lines(). Texts with nothing to remove are returned as they are.
+    See duplicate_lines(). Texts with nothing to remove are returned as they
+    are. The four columns take the place of columns of docs with their names.
     """
-    flags = staged(duplicate_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), edits, min_chars), "flags")
+    flags = duplicate_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), edits, min_chars)
+    flags = staged(flags.withColumnRenamed("doc_id", "_id"), "flags")
+    own = ["removed", "n_exact", "n_near", "cleaned"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.withColumn("_row", F.xxhash64(text)).withColumn("_id", F.col(id_col).cast("long"))
-    flags = flags.withColumnRenamed("doc_id", "_id")
-    joined = given.join(flags, ["_id", "_row"], "left").drop("_id", "_row")
-    lines = F.split(text, "\n")
+    given = docs.select(*carried(docs, True, own), F.col(id_col).cast("long").alias("_id"), text.alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    lines = F.split("_text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return joined.withColumns({"cleaned": F.when(F.col("removed").isNull(), text).otherwise(left), "n_exact": F.coalesce("n_exact", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0))})
+    return given.join(flags, ["_id", "_row"], "left").select(
+        "_given.*",
+        "removed",
+        F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.when(F.col("removed").isNull(), F.col("_text")).otherwise(left).alias("cleaned"),
+    )
 
 
 def op6_line_dedup(spark, sf_dir):

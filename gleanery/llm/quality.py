@@ -12,8 +12,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import arrow_bounds, id_text
+from .common import arrow_bounds, carried, id_text
 from .near_dup import _WORDS, mixed
 
 _WS = "[\\x20\\x09-\\x0D]"
@@ -104,25 +105,25 @@ def measures(text: str) -> dict:
 
 
 SCHEMA = {
-    "n_words": ("long", pa.int64()),
-    "word_chars": ("long", pa.int64()),
-    "n_symbols": ("long", pa.int64()),
-    "n_dup_lines": ("long", pa.int64()),
-    "n_repeat_words": ("long", pa.int64()),
-    "base_failed": ("boolean", pa.bool_()),
-    "kept": ("boolean", pa.bool_()),
-    "n_lines_removed": ("long", pa.int64()),
-    "n_words_removed": ("long", pa.int64()),
-    "cleaned": ("string", pa.string()),
+    "n_words": (T.LongType(), pa.int64()),
+    "word_chars": (T.LongType(), pa.int64()),
+    "n_symbols": (T.LongType(), pa.int64()),
+    "n_dup_lines": (T.LongType(), pa.int64()),
+    "n_repeat_words": (T.LongType(), pa.int64()),
+    "base_failed": (T.BooleanType(), pa.bool_()),
+    "kept": (T.BooleanType(), pa.bool_()),
+    "n_lines_removed": (T.LongType(), pa.int64()),
+    "n_words_removed": (T.LongType(), pa.int64()),
+    "cleaned": (T.StringType(), pa.string()),
 }
 
 
-def assess(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def assess(docs: DataFrame, with_text: bool = False, carry: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, the measures, base_failed, kept, what was removed[, cleaned text].
 
     A null, empty or blank text has no words and fails. Rows that repeat a
-    doc_id are judged each; other columns are ignored. An empty table gives no
-    rows. No shuffle.
+    doc_id are judged each; other columns are ignored, or with `carry` come
+    along in the struct _given. An empty table gives no rows. No shuffle.
     """
     arrow_bounds(docs.sparkSession)
     names = [c for c in SCHEMA if with_text or c != "cleaned"]
@@ -131,9 +132,12 @@ def assess(docs: DataFrame, with_text: bool = False) -> DataFrame:
         for b in batches:
             rows = [measures(t) for t in b.column("text").to_pylist()]
             columns = [pa.array([r[c] for r in rows], SCHEMA[c][1]) for c in names]
-            yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", *names])
+            yield pa.record_batch([b.column("doc_id"), *columns, *map(b.column, more)], ["doc_id", *names, *more])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {SCHEMA[c][0]}" for c in names))
+    base = id_text(docs, "doc_id", "text", *carried(docs, carry, ["doc_id", "text"]))
+    more = [c for c in base.columns if c == "_given"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, SCHEMA[c][0]) for c in names), *(base.schema[c] for c in more)])
+    return base.mapInArrow(run, schema)
 
 
 _SQL_SENTENCE = SENTENCE.replace("'", "''")
