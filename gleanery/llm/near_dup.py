@@ -11,12 +11,14 @@
    threshold.
 4. The pairs left are decided on their full sets.
 
-A bucket is never expanded into all its pairs. In each round some of its
-documents (leaders, twice as many each round) are compared with the members
-that are not yet in the leader's component; a bucket is done when all that is
-left of it is one component. Every document outside the bucket's largest
-component becomes a leader or joins it, so each link between two components is
-found.
+A bucket is never expanded into all its pairs. First its most central document
+is compared with all others. What is then not one component is cut down to the
+documents that can have a link (see Linker.that_may_link), and in each round
+some of them (leaders, eight times as many each round) are compared with the
+members that are not in the leader's component and may link with it. A bucket
+is done when all that is left of it is one component. Every document outside
+the bucket's largest component becomes a leader or joins it, so each link
+between two components is found.
 """
 
 from __future__ import annotations
@@ -145,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id").take(pa.array(own, pa.int64())), lists([sets[i] for i in own])], ["doc_id", "shingles"])
 
     joined = id_text(docs).join(wanted.select("doc_id", "digest"), "doc_id").select("doc_id", "text", "digest")
-    return joined.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    return joined.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
@@ -186,56 +188,116 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     signed = staged(signatures(docs, width, hashes, bands, bits), "signatures")
     classes = staged(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     first = signed.join(classes, "digest").filter("doc_id = rep").select("doc_id", "digest", "packed", "bands")
-    first = staged(first.dropDuplicates(["doc_id"]), "representatives")
+    first = staged(first, "representatives")
+    # only a table that repeats rows needs the costly step of dropping them
+    repeats = not first.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeats:
+        first = staged(first.dropDuplicates(["doc_id"]), "representatives")
 
     dealt = first.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = staged(dealt.join(shared, "bucket", "left_semi"), "members")
-
-    labels = linked(docs, first, members, width, percent, hashes, bits)
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(dealt.join(shared, "bucket"), "members")
+    wanted = first.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(docs, wanted, width)
+    sets = staged(sets.dropDuplicates(["doc_id"]) if repeats else sets, "sets")
+    labels = Linker(members, staged(wanted.select("doc_id", "packed"), "packed"), sets, percent, hashes, bits).labels()
     roots = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
     out = salted_left_join(signed.select("doc_id", "n_shingles", "digest"), roots, ["digest"], F.col("doc_id"))
     component = F.coalesce("_root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def linked(docs: DataFrame, first: DataFrame, members: DataFrame, width: int, percent: int, hashes: int, bits: int) -> DataFrame:
-    """(node, root) of all documents that have a link."""
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node long, root long")
-    if members.isEmpty():
-        return labels
-    wanted = first.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = staged(full_sets(docs, wanted, width), "sets")
-    packed = staged(wanted.select("doc_id", "packed"), "packed")
-    least, links, leaders_each = least_estimate(percent / 100, hashes, bits), None, 1
-    while True:
-        named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = staged(named.select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("part")), "named")
-        parts = named.groupBy("bucket", "part").count().groupBy("bucket")
-        parts = parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).filter("n > 1")
-        parts = staged(parts.select("bucket", "main"), "active")
-        if parts.isEmpty():
-            return labels
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        outside = named.join(parts, "bucket").filter("part <> main")
-        leaders = outside.withColumn("_n", order).filter(F.col("_n") <= leaders_each)
-        leaders = staged(leaders.select("bucket", F.col("doc_id").alias("leader"), F.col("part").alias("_part")), "leaders")
-
-        met = named.join(leaders, "bucket").filter("part <> _part")
-        met = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        near = met.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
-        near = near.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b")
-        near = staged(near.filter(estimate(F.col("pa"), F.col("pb"), hashes, bits) >= least).select("a", "b"), "near")
-        both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        both = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
-        found = both.filter((F.col("c") * 100 >= (F.col("n") - F.col("c")) * percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+class Linker:
+    """Finds all components among the members (bucket, doc_id, n) of shared buckets."""
+
+    def __init__(self, members: DataFrame, packed: DataFrame, sets: DataFrame, percent: int, hashes: int, bits: int):
+        self.members, self.packed, self.sets = members, packed, sets
+        self.percent, self.hashes, self.bits = percent, hashes, bits
+        self.links: DataFrame | None = None
+        self.left: DataFrame | None = None
+        self.roots = members.sparkSession.createDataFrame([], "node long, root long")
+
+    def labels(self) -> DataFrame:
+        """(node, root) of all documents that have a link."""
+        if self.members.isEmpty():
+            return self.roots
+        self.decide(self.with_the_most_central())
+        self.left, each = self.that_may_link(), 1
+        while (pairs := self.with_leaders(each)) is not None:
+            self.decide(pairs)
+            each *= 8
+        return self.roots
+
+    def with_the_most_central(self) -> DataFrame:
+        """(a, b): every member with its bucket's document that shares the most buckets with the most others."""
+        weight = self.members.groupBy("doc_id").agg(F.sum("n").alias("w"))
+        best = F.max(F.struct("w", (-F.col("doc_id")).alias("i")))
+        leaders = self.members.join(weight, "doc_id").groupBy("bucket").agg(best.alias("m")).select("bucket", (-F.col("m.i")).alias("leader"))
+        return self.members.join(leaders, "bucket").filter("doc_id <> leader").select("doc_id", "leader")
+
+    def decide(self, met: DataFrame) -> None:
+        """Estimates, then confirms on full sets; components follow new links. met has a row for each bucket of a pair."""
+        one, other = met.columns
+        pairs = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+        near = pairs.join(self.packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
+        near = near.join(self.packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b")
+        least = least_estimate(self.percent / 100, self.hashes, self.bits)
+        near = staged(near.filter(estimate(F.col("pa"), F.col("pb"), self.hashes, self.bits) >= least).select("a", "b"), "near")
+        both = near.join(self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = both.join(self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
+        found = both.filter(F.col("c") * 100 >= (F.col("n") - F.col("c")) * self.percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = staged(found, "links")
-        links = found if links is None else links.union(found)
         if not found.isEmpty():
-            labels = components(links)
+            self.links = found if self.links is None else self.links.union(found)
+            self.roots = components(self.links)
+
+    def parted(self, members: DataFrame) -> DataFrame:
+        """members with `part`, their component so far."""
+        known = self.roots.select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
+        return members.join(known, "doc_id", "left").withColumn("part", F.coalesce("_root", "doc_id")).drop("_root")
+
+    @staticmethod
+    def undecided(named: DataFrame) -> DataFrame:
+        """(bucket, main): buckets of several components, and the largest of these."""
+        parts = named.groupBy("bucket", "part").count().groupBy("bucket")
+        return parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("bucket", "main")
+
+    def that_may_link(self) -> DataFrame:
+        """(bucket, doc_id, size, own): members of undecided buckets that can have a link at all.
+
+        own counts a document's shingles that no other such document has. Those
+        are in no intersection, so a document with too many of them links with
+        nothing, and two with too many together not with each other.
+        """
+        named = staged(self.parted(self.members.select("bucket", "doc_id")), "named")
+        left = named.join(self.undecided(named).select("bucket"), "bucket", "left_semi").select("bucket", "doc_id")
+        left = staged(left, "undecided")
+        sets = self.sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+        once = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+        own = once.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+        sized = sets.select("doc_id", F.size("shingles").alias("size")).join(own, "doc_id", "left").select("doc_id", "size", F.coalesce("own", F.lit(0)).alias("own"))
+        sized = sized.filter(F.col("own") * 100 <= F.col("size") * (100 - self.percent))
+        return staged(left.join(sized, "doc_id").select("bucket", "doc_id", "size", "own"), "may-link")
+
+    def with_leaders(self, each: int) -> DataFrame | None:
+        """(doc_id, leader) that are still to be compared; None when every bucket is one component.
+
+        Leaders are taken from outside of a bucket's largest component, those
+        with the fewest shingles of their own first. The members that were
+        compared with a leader need not meet it again, so it leaves its bucket.
+        """
+        named = staged(self.parted(self.left), "named")
+        active = staged(self.undecided(named), "active")
+        if active.isEmpty():
+            return None
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "doc_id"))
+        outside = named.join(active, "bucket").filter("part <> main").withColumn("_n", order).filter(F.col("_n") <= each)
+        leaders = outside.select("bucket", F.col("doc_id").alias("leader"), F.col("part").alias("_part"), F.col("size").alias("_size"), F.col("own").alias("_own"))
+        leaders = staged(leaders, "leaders")
         settled = leaders.select("bucket", F.col("leader").alias("doc_id"))
-        members = named.select("bucket", "doc_id").join(parts, "bucket", "left_semi").join(settled, ["bucket", "doc_id"], "left_anti")
-        leaders_each *= 2
+        columns = ["bucket", "doc_id", "size", "own"]
+        self.left = named.select(*columns).join(active, "bucket", "left_semi").join(settled, ["bucket", "doc_id"], "left_anti").select(*columns)
+        common = F.least(F.col("size") - F.col("own"), F.col("_size") - F.col("_own"))
+        possible = common * 100 >= (common + F.col("own") + F.col("_own")) * self.percent
+        return named.join(leaders, "bucket").filter((F.col("part") != F.col("_part")) & possible).select("doc_id", "leader")
