@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workers import reach
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,6 +44,7 @@ class HashedTokens:
 
 def embed(texts: DataFrame, embedder: Embedder, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """(<id>, embedding) of every text, a batch at a time."""
+    reach(texts.sparkSession)
     kind = texts.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -104,7 +104,8 @@ def body(src: Source, at: int) -> int | None:
         first = True
         while at < len(code):
             c = code[at]
-            if c == "{" and not first and code[src.before(at)] not in "|&:<,=>":
+            last = src.before(at)
+            if c == "{" and not first and code[last] not in "|&:<,=" and code[last - 1 : last + 1] != "=>":
                 return at
             if c in ";}\n," and not first:
                 return at

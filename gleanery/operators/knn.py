@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import reach
+
 #: Query vectors that go to a worker at once.
 BLOCK = 1024
 
@@ -31,6 +33,7 @@ def vector_search(queries: DataFrame, embeddings: DataFrame, k: int, id_col: str
     gives no more than its own best k of a query to the shuffle.
     """
     spark, schema = queries.sparkSession, f"query_id long, {id_col} {embeddings.schema[id_col].dataType.simpleString()}, score double"
+    reach(spark)
     ordered = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     found, blocks = None, []
     block: list = []

@@ -22,7 +22,7 @@ def has(text: str, words: str) -> str:
 
 
 def terms(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '' AND strlen(x) < 40)"
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND strlen(x) < 40)"
 
 
 def intent(q: str) -> str:
@@ -90,7 +90,7 @@ fused AS (SELECT query_id, id, sum((({WEIGHTS})[side + 1]::FLOAT / (60 + rank0):
   FROM parts JOIN asked USING (query_id) GROUP BY query_id, id),
 s0 AS (SELECT query_id, id, score, c.p AS file_path, c.s AS start_line, c.e AS end_line, c.y AS symbol_id, query, intent, reasons,
   lower(split_part(c.y, ':', -1)) AS tail, lower(c.p) AS path,
-  list_filter(regexp_split_to_array(lower(query), '\\s+'), x -> x <> '') AS tokens, intent IN ('Semantic', 'Flow', 'Architecture') AS concept FROM fused)"""
+  list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '') AS tokens, intent IN ('Semantic', 'Flow', 'Architecture') AS concept FROM fused)"""
 
 
 def times(before: str, after: str, hit: str, factor: str, reason: str) -> str:
@@ -107,7 +107,7 @@ _P = [
 ]
 _FACTOR = "CASE " + " ".join(f"WHEN {h} THEN {f}" for h, f, _ in _P) + " END"
 _REASON = "CASE " + " ".join(f"WHEN {h} THEN '{r}'" for h, _, r in _P) + " END"
-_TOKEN = "len(list_filter(tokens, x -> contains(tail, x))) > 0"
+_TOKEN = "len(list_filter(tokens, lambda x: contains(tail, x))) > 0"
 _ENTRY = has("tail", "service handler controller router interface api")
 STEPS = {
     "noise_suppression": times("s0", "s1", f"({_REASON}) IS NOT NULL", _FACTOR, f"({_REASON})"),

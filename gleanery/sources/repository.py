@@ -10,6 +10,7 @@ from ..functions.intent import contains_any
 from ..functions.text import content_id, extension, module_path, relative_path, symbol_id
 from ..operators.extract import EXTRACTORS, extract
 from ..schema import DEFINITION
+from ..workers import reach
 
 #: Folders that are skipped, and those skipped unless tests are included.
 SKIPPED = ["/.git/", "/node_modules/", "/vendor/", "/target/", "/build/", "/dist/"]
@@ -39,6 +40,7 @@ def definitions(files: DataFrame) -> DataFrame:
     content is binary or a string. Files that are not UTF-8 give nothing. A
     file whose extractor fails gives an error row and does not end the job.
     """
+    reach(files.sparkSession)
     names = [x.split()[0] for x in DEFINITIONS.split(", ")]
 
     def run(batches):
