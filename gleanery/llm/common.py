@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reach
+
 #: The white space of every contract: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,7 +54,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def arrow_bounds(spark: SparkSession) -> None:
-    """Bounds the rows and bytes that one Arrow batch holds in a Python worker."""
+    """Bounds the rows and bytes that one Arrow batch holds in a Python worker, which finds this package."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -36,15 +36,16 @@ def recipes(docs: DataFrame, key_bits: int = 64) -> DataFrame:
 
 def verified(found: DataFrame) -> DataFrame:
     """(doc_id, text_sha256, recipe): identifiers that stand for several chunks are told apart."""
-    chunks = found.select("doc_id", F.posexplode(F.arrays_zip("keys", "marks")).alias("pos", "chunk")).select("doc_id", "pos", "chunk.keys", "chunk.marks")
+    chunks = found.select("doc_id", "text_sha256", F.posexplode(F.arrays_zip("keys", "marks")).alias("pos", "chunk"))
+    chunks = chunks.select("doc_id", "text_sha256", "pos", "chunk.keys", "chunk.marks")
     several = chunks.groupBy("keys", "marks").agg(F.lit(1).alias("_one")).groupBy("keys").agg(F.count("*").alias("n"), F.min("marks").alias("first")).filter("n > 1")
     several = staged(several.select("keys", "first"), "ambiguous")
     if several.isEmpty():
         return found.select("doc_id", "text_sha256", F.col("keys").alias("recipe"), F.lit(None).cast("array<struct<pos:int,mark:binary>>").alias("extra"))
     # such chunks, but for the first of each identifier, are named by their whole digest
     other = chunks.join(several, "keys").filter("marks <> first")
-    other = other.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", F.col("marks").alias("mark")))).alias("extra"))
-    return found.join(other, "doc_id", "left").select("doc_id", "text_sha256", F.col("keys").alias("recipe"), "extra")
+    other = other.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", F.col("marks").alias("mark")))).alias("extra"))
+    return found.join(other, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.col("keys").alias("recipe"), "extra")
 
 
 def exact_duplicates(docs: DataFrame, key_bits: int = 64) -> DataFrame:
@@ -54,7 +55,8 @@ def exact_duplicates(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     space; null counts as empty, and all empty texts are one group. keep_id is
     the group's smallest doc_id, group_size its number of rows. Rows that
     repeat a doc_id and its text count each, and share all values. Other
-    columns are ignored. An empty table gives no rows.
+    columns are ignored; a null doc_id is never the smallest of several. An empty
+    table gives no rows.
 
     Groups are counted before the shuffle, and a large group's rows are dealt
     over salts, so copies that make up much of the corpus spread over tasks.
@@ -70,7 +72,7 @@ def exact_duplicates(docs: DataFrame, key_bits: int = 64) -> DataFrame:
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
 

@@ -29,7 +29,7 @@ BOILERPLATE = "(?i)lorem ipsum|javascript|cookie|terms of (?:use|service)|privac
 #: In a line of up to so many words, the navigation and the boilerplate rules hold.
 MENU_WORDS, BOILERPLATE_WORDS = 30, 60
 #: Per cent: of symbols to a line's words, of words in repeated windows, and of words removed, beyond which it fails.
-SYMBOL_PERCENT, REPEAT_PERCENT, LOSS_PERCENT = 50, 50, 50
+SYMBOL_PERCENT, REPEAT_PERCENT, LOSS_PERCENT = 10, 50, 50
 LEAST_WORDS = 50
 
 _sentence, _separator, _menu, _boilerplate = map(re.compile, (SENTENCE, SEPARATOR, MENU, BOILERPLATE))

@@ -33,6 +33,8 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MAGIC = b"GRA1"
+#: Stands for a null doc_id, which comes first in the order.
+NO_ID = -(1 << 63)
 #: Target of ids in a block (a longer document makes a longer block), most lanes, steps between checkpoints.
 BLOCK_IDS, MOST_LANES, CHECKPOINT_STEPS = 1 << 17, 1024, 64
 HEAD = struct.Struct("<4sHHIIIII")
@@ -182,7 +184,7 @@ def raw_blocks(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids.append(np.append(vocabulary.encode(text), np.uint32(end_id)))
-                held.append(doc_id)
+                held.append(NO_ID if doc_id is None else doc_id)
                 size += len(ids[-1])
                 if size >= BLOCK_IDS:
                     yield row()
@@ -206,7 +208,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     """Writes `docs` as token files in the folder `out`.
 
     Null and empty texts are end_id alone; rows that repeat a doc_id are all
-    written, side by side; an empty table gives empty files. Collected and
+    written, side by side, and null doc_ids first; an empty table gives empty files. Collected and
     broadcast is the frequency table alone, bounded by the vocabulary's size.
     """
     spark = docs.sparkSession
@@ -269,7 +271,7 @@ def read(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
                 ends = np.cumsum(lengths.astype(np.int64))
                 first = ends - lengths
                 own = [ids[a:z].astype("<u4").tobytes() for a, z in zip(first, ends)]
-                columns = [pa.array(doc_ids), pa.array(first + (starts[part] + offset)), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                columns = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(first + (starts[part] + offset)), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 yield pa.record_batch(columns + [pa.array(own, pa.binary())] * with_ids, names)
 
     return blocks.select("part", "offset", "payload").mapInArrow(run, schema)
