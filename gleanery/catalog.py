@@ -77,7 +77,10 @@ def doc_embeddings(spark, sf_dir) -> DataFrame:
 
 
 def doc_corpus(spark, sf_dir) -> plans.Corpus:
-    return plans.Corpus(doc_chunks(spark, sf_dir), doc_symbols(spark, sf_dir), doc_embeddings(spark, sf_dir))
+    """The index of all documents, persisted as an engine keeps it; equal plans share what is persisted."""
+    chunks, symbols = doc_chunks(spark, sf_dir), doc_symbols(spark, sf_dir)
+    postings = bm25.chunk_postings(chunks).persist(), bm25.symbol_postings(symbols).persist()
+    return plans.Corpus(chunks, symbols, doc_embeddings(spark, sf_dir).persist(), *postings)
 
 
 def asked(spark, queries: list[str] = SEARCHES) -> DataFrame:

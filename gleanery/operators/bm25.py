@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import joined_symbols, terms
-from ..sizes import broadcast_if_small
+from ..sizes import BROADCAST_ROWS, broadcast_if_small
 
 K1, B = 1.2, 0.75
 CHUNK_FIELDS = ["content", "symbols"]
@@ -78,11 +78,14 @@ def scores(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFra
     them before anything is shuffled, and partial sums come before the shuffle.
     """
     wanted = query_terms(queries)
-    hits = postings.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # what follows from the queries' terms has a row for each term, query and field at most
+    hint = F.broadcast if few else lambda df: df
+    hits = postings.join(hint(wanted.select("term").distinct()), "term", "left_semi")
     per_term = hits.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(per_term, "term").select("query_id", "field", "term", idf.alias("idf"), "avgdl")
-    met = hits.join(broadcast_if_small(weighted), ["field", "term"])
+    met = hits.join(hint(weighted), ["field", "term"])
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.select("query_id", "key", (F.col("idf") * tf).alias("s")).groupBy("query_id", "key").agg(F.round(F.sum("s"), 9).alias("score"))
 
@@ -103,7 +106,7 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, postings: DataFrame, st
     # all that may be among the best k: scores not below the k-th
     tied = Window.partitionBy("query_id").orderBy(F.desc("score"))
     near = found.withColumn("_r", F.rank().over(tied)).filter(F.col("_r") <= k).drop("_r")
-    joined = keyed_chunks(chunks).join(broadcast_if_small(near), "key").drop("key")
+    joined = keyed_chunks(chunks).join(broadcast_if_small(near, keep=True), "key").drop("key")
     return top(joined, k, "id", "file_path", "start_line", "end_line")
 
 
@@ -114,7 +117,7 @@ def search_symbols(queries: DataFrame, symbols: DataFrame, postings: DataFrame,
     found = found.union(exact).groupBy("query_id", "key").agg(F.sum("score").alias("score"))
     tied = Window.partitionBy("query_id").orderBy(F.desc("score"))
     near = found.withColumn("_r", F.rank().over(tied)).filter(F.col("_r") <= k).drop("_r")
-    joined = keyed_symbols(symbols).join(broadcast_if_small(near), "key").drop("key")
+    joined = keyed_symbols(symbols).join(broadcast_if_small(near, keep=True), "key").drop("key")
     return top(joined, k, "symbol_id", "file_path", "start_line", "end_line")
 
 

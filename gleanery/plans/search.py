@@ -57,7 +57,7 @@ def search(queries: DataFrame, corpus: Corpus, embedder: Embedder, include_tests
     """
     asked = routed(queries)
     exact = exact_results(asked.filter("intent = 'Symbol'"), corpus.symbols)
-    rest = asked.join(broadcast_if_small(exact.select("query_id").distinct()), "query_id", "left_anti")
+    rest = asked.join(broadcast_if_small(exact.select("query_id").distinct(), keep=True), "query_id", "left_anti")
     texts = rest.select("query_id", search_text(F.col("query"), F.col("intent")).alias("query"))
     lexical = bm25.search_chunks(texts, corpus.chunks, corpus.chunk_postings, corpus.chunk_stats, LEXICAL_K)
     wanted = embed(texts, embedder) if vectors is None else vectors.join(rest.select("query_id"), "query_id", "left_semi")
@@ -71,6 +71,7 @@ def search(queries: DataFrame, corpus: Corpus, embedder: Embedder, include_tests
 def representatives(near: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk columns of (query_id, chunk_id, rank0): embeddings are by content, so an id's first chunk stands for it."""
     columns = ["file_path", "start_line", "end_line", "symbols_defined"]
+    near = near.persist()
     wanted = broadcast_if_small(near.select(F.col("chunk_id").alias("id")).distinct())
     first = chunks.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("file_path", "start_line", "end_line", "symbols_defined")).alias("_c"))
     return near.withColumnRenamed("chunk_id", "id").join(first, "id").select("query_id", "id", *(F.col(f"_c.{c}").alias(c) for c in columns), "rank0")

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a side of at most `rows` rows, else the side itself; counts no further than that."""
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, keep: bool = False) -> DataFrame:
+    """A broadcast hint for a side of at most `rows` rows, else the side itself; counts no further than that.
+
+    `keep` persists a side that costs much and is small, such as the best k
+    rows of each query, so that counting it doesn't compute it twice.
+    """
+    if keep:
+        df = df.persist()
+        return F.broadcast(df) if df.count() <= rows else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
