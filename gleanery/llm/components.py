@@ -11,7 +11,7 @@ from .common import staged
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node reachable.
 
-    Every node hooks to its smallest neighbour, chains are halved until they
+    Every node hooks to the smallest node within two steps, chains are halved until they
     are flat, and the edges between what has joined are contracted; that
     repeats until no edge is left. Each pass halves the nodes at least. Groups
     are reduced before the shuffle, so a node with very many edges costs one
@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     roots = None
     while not left.isEmpty():
         both = left.select("u", "v").union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooked = both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root"))
+        nearest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # the smallest within two steps, so that a star is done in one pass wherever its smallest node is
+        hooked = both.join(nearest.select(F.col("u").alias("v"), "m"), "v").groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "m")).alias("root"))
         hooked = flattened(staged(hooked, "hooked"))
         if roots is None:
             roots = hooked

@@ -13,12 +13,10 @@
 
 A bucket is never expanded into all its pairs. First its most central document
 is compared with all others. What is then not one component is cut down to the
-documents that can have a link (see Linker.that_may_link), and in each round
-some of them (leaders, eight times as many each round) are compared with the
-members that are not in the leader's component and may link with it. A bucket
-is done when all that is left of it is one component. Every document outside
-the bucket's largest component becomes a leader or joins it, so each link
-between two components is found.
+documents that can have a link (see Linker.that_may_link). Of each group of
+these, those outside its largest component are put in blocks, and the group's
+members are run past each block, exactly and without a row for each pair; so
+each link between two components is found.
 """
 
 from __future__ import annotations
@@ -31,12 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sizes import broadcast_if_small
 from .common import arrow_bounds, id_text, salted_left_join, staged
 from .components import components
 
 HASHES, BANDS, BITS = 128, 32, 4
 #: Standard deviations below the threshold at which an estimate gives a pair up.
 MARGIN = 6
+#: Up to so many documents whose sets are wanted are broadcast to the texts; more are joined by a shuffle.
+WANTED_ROWS = 200_000
+#: Documents of a block that members are compared with, and tasks that a block's members are dealt to.
+BLOCK, SALTS = 128, 8
 MAX_WORDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +149,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             own = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist())) if digest(s) == d]
             yield pa.record_batch([batch.column("doc_id").take(pa.array(own, pa.int64())), lists([sets[i] for i in own])], ["doc_id", "shingles"])
 
-    joined = id_text(docs).join(wanted.select("doc_id", "digest"), "doc_id").select("doc_id", "text", "digest")
+    joined = id_text(docs).join(broadcast_if_small(wanted.select("doc_id", "digest"), WANTED_ROWS), "doc_id").select("doc_id", "text", "digest")
     return joined.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
@@ -180,7 +183,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     kept is doc_id = component_id. A null, empty or blank text has no shingles
     and is linked with nothing. Texts with fewer words than `width` are one
     shingle. Rows that repeat a doc_id each get a row; equal ones share all
-    values. An empty table gives no rows.
+    values. A text whose class has no doc_id but null is linked with nothing. An
+    empty table gives no rows.
 
     Texts are read twice: for the signatures, and for the full sets of those
     documents that share a band with another class.
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     roots = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
     out = salted_left_join(signed.select("doc_id", "n_shingles", "digest"), roots, ["digest"], F.col("doc_id"))
     component = F.coalesce("_root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 class Linker:
@@ -214,29 +218,33 @@ class Linker:
         self.members, self.packed, self.sets = members, packed, sets
         self.percent, self.hashes, self.bits = percent, hashes, bits
         self.links: DataFrame | None = None
-        self.left: DataFrame | None = None
         self.roots = members.sparkSession.createDataFrame([], "node long, root long")
 
     def labels(self) -> DataFrame:
         """(node, root) of all documents that have a link."""
         if self.members.isEmpty():
             return self.roots
-        self.decide(self.with_the_most_central())
-        self.left, each = self.that_may_link(), 1
-        while (pairs := self.with_leaders(each)) is not None:
-            self.decide(pairs)
-            each *= 8
+        met = self.members.join(self.centres(), "bucket").filter("doc_id <> leader")
+        self.add(self.confirmed(met.select("doc_id", "leader")))
+        groups = self.groups(self.that_may_link())
+        if not groups.isEmpty():
+            self.add(staged(self.past_blocks(groups), "links"))
         return self.roots
 
-    def with_the_most_central(self) -> DataFrame:
-        """(a, b): every member with its bucket's document that shares the most buckets with the most others."""
+    def add(self, found: DataFrame) -> None:
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.union(found)
+            self.roots = components(self.links)
+
+    def centres(self) -> DataFrame:
+        """(bucket, leader): of each bucket the document that shares the most buckets with the most others."""
         weight = self.members.groupBy("doc_id").agg(F.sum("n").alias("w"))
         best = F.max(F.struct("w", (-F.col("doc_id")).alias("i")))
-        leaders = self.members.join(weight, "doc_id").groupBy("bucket").agg(best.alias("m")).select("bucket", (-F.col("m.i")).alias("leader"))
-        return self.members.join(leaders, "bucket").filter("doc_id <> leader").select("doc_id", "leader")
+        found = self.members.join(weight, "doc_id").groupBy("bucket").agg(best.alias("m"))
+        return staged(found.select("bucket", (-F.col("m.i")).alias("leader")), "centres")
 
-    def decide(self, met: DataFrame) -> None:
-        """Estimates, then confirms on full sets; components follow new links. met has a row for each bucket of a pair."""
+    def confirmed(self, met: DataFrame) -> DataFrame:
+        """Links (u, v) among the pairs met: by estimate first, then on full sets. met has a row for each bucket of a pair."""
         one, other = met.columns
         pairs = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
         near = pairs.join(self.packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
@@ -246,11 +254,8 @@ class Linker:
         both = near.join(self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         both = both.join(self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
-        found = both.filter(F.col("c") * 100 >= (F.col("n") - F.col("c")) * self.percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = staged(found, "links")
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.roots = components(self.links)
+        found = both.filter(F.col("c") * 100 >= (F.col("n") - F.col("c")) * self.percent)
+        return staged(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     def parted(self, members: DataFrame) -> DataFrame:
         """members with `part`, their component so far."""
@@ -258,46 +263,105 @@ class Linker:
         return members.join(known, "doc_id", "left").withColumn("part", F.coalesce("_root", "doc_id")).drop("_root")
 
     @staticmethod
-    def undecided(named: DataFrame) -> DataFrame:
-        """(bucket, main): buckets of several components, and the largest of these."""
-        parts = named.groupBy("bucket", "part").count().groupBy("bucket")
-        return parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("bucket", "main")
+    def undecided(named: DataFrame, by: str) -> DataFrame:
+        """(by, main): buckets or groups of several components, and the largest of these."""
+        parts = named.groupBy(by, "part").count().groupBy(by)
+        return parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).filter("n > 1").select(by, "main")
 
     def that_may_link(self) -> DataFrame:
-        """(bucket, doc_id, size, own): members of undecided buckets that can have a link at all.
+        """(bucket, doc_id): members of undecided buckets that can have a link at all.
 
-        own counts a document's shingles that no other such document has. Those
-        are in no intersection, so a document with too many of them links with
-        nothing, and two with too many together not with each other.
+        A document's own shingles are those that no other such document has;
+        they are in no intersection, so with too many of them it links with nothing.
         """
         named = staged(self.parted(self.members.select("bucket", "doc_id")), "named")
-        left = named.join(self.undecided(named).select("bucket"), "bucket", "left_semi").select("bucket", "doc_id")
+        left = named.join(self.undecided(named, "bucket").select("bucket"), "bucket", "left_semi").select("bucket", "doc_id")
         left = staged(left, "undecided")
         sets = self.sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
         once = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
         own = once.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-        sized = sets.select("doc_id", F.size("shingles").alias("size")).join(own, "doc_id", "left").select("doc_id", "size", F.coalesce("own", F.lit(0)).alias("own"))
-        sized = sized.filter(F.col("own") * 100 <= F.col("size") * (100 - self.percent))
-        return staged(left.join(sized, "doc_id").select("bucket", "doc_id", "size", "own"), "may-link")
-
-    def with_leaders(self, each: int) -> DataFrame | None:
-        """(doc_id, leader) that are still to be compared; None when every bucket is one component.
-
-        Leaders are taken from outside of a bucket's largest component, those
-        with the fewest shingles of their own first. The members that were
-        compared with a leader need not meet it again, so it leaves its bucket.
+        sized = sets.select("doc_id", F.size("shingles").alias("size")).join(own, "doc_id", "left")
+        able = sized.filter(F.coalesce("own", F.lit(0)) * 100 <= F.col("size") * (100 - self.percent)).select("doc_id")
+        return staged(left.join(able, "doc_id", "left_semi"), "may-link")
+
+    def groups(self, left: DataFrame) -> DataFrame:
+        """(group, doc_id, part, main): groups joined by shared buckets, of several components."""
+        first = left.groupBy("bucket").agg(F.min("doc_id").alias("v"))
+        edges = left.join(first, "bucket").filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+        grouped = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
+        named = staged(self.parted(grouped), "named")
+        return staged(named.join(self.undecided(named, "group"), "group").select("group", "doc_id", "part", "main"), "groups")
+
+    def past_blocks(self, groups: DataFrame) -> DataFrame:
+        """Links (u, v) between a group's documents outside its main component and all its others.
+
+        The outside is dealt into blocks of about BLOCK documents. A task reads
+        a block, then the group's members one after the other, which SALTS
+        tasks share; it holds one block and one batch.
         """
-        named = staged(self.parted(self.left), "named")
-        active = staged(self.undecided(named), "active")
-        if active.isEmpty():
-            return None
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "doc_id"))
-        outside = named.join(active, "bucket").filter("part <> main").withColumn("_n", order).filter(F.col("_n") <= each)
-        leaders = outside.select("bucket", F.col("doc_id").alias("leader"), F.col("part").alias("_part"), F.col("size").alias("_size"), F.col("own").alias("_own"))
-        leaders = staged(leaders, "leaders")
-        settled = leaders.select("bucket", F.col("leader").alias("doc_id"))
-        columns = ["bucket", "doc_id", "size", "own"]
-        self.left = named.select(*columns).join(active, "bucket", "left_semi").join(settled, ["bucket", "doc_id"], "left_anti").select(*columns)
-        common = F.least(F.col("size") - F.col("own"), F.col("_size") - F.col("_own"))
-        possible = common * 100 >= (common + F.col("own") + F.col("_own")) * self.percent
-        return named.join(leaders, "bucket").filter((F.col("part") != F.col("_part")) & possible).select("doc_id", "leader")
+        whole = groups.join(self.sets, "doc_id")
+        outside = whole.filter("part <> main")
+        blocks = groups.filter("part <> main").groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = outside.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        one = dealt.select("group", "block", salts.alias("salt"), F.lit(0).alias("kind"), "doc_id", "part", "shingles")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        other = whole.join(blocks, "group").select("group", every.alias("block"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part", "shingles")
+        key = ["group", "block", "salt"]
+        ordered = one.unionByName(other).repartition(*key).sortWithinPartitions(*key, "kind")
+        percent = self.percent
+
+        def run(batches):
+            at, block = None, None
+            for b in batches:
+                found: list[tuple[int, int]] = []
+                columns = [b.column(c).to_pylist() for c in (*key, "kind", "doc_id", "part")]
+                ends = np.asarray(b.column("shingles").offsets)
+                values = np.asarray(b.column("shingles").values).view(np.uint64)
+                for i, (group, number, salt, kind, doc_id, part) in enumerate(zip(*columns)):
+                    shingles = values[ends[i] : ends[i + 1]]
+                    if at != (group, number, salt):
+                        at, block = (group, number, salt), Block()
+                    if kind == 0:
+                        block.add(doc_id, part, shingles)
+                    else:
+                        found += [(doc_id, other) for other in block.links(part, shingles, percent)]
+                yield pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+        return ordered.mapInArrow(run, "u long, v long")
+
+
+class Block:
+    """Sets by document, and their inverted index from the first question on."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.parts: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.shingles: np.ndarray | None = None
+
+    def add(self, doc_id: int, part: int, shingles: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.parts.append(part)
+        self.sets.append(shingles.copy())
+
+    def links(self, part: int, shingles: np.ndarray, percent: int) -> list[int]:
+        """Documents of other components that the set links with."""
+        if not self.ids:
+            return []
+        if self.shingles is None:
+            every = np.concatenate(self.sets)
+            order = np.argsort(every, kind="stable")
+            self.owners = np.repeat(np.arange(len(self.ids)), list(map(len, self.sets)))[order]
+            self.shingles, starts = np.unique(every[order], return_index=True)
+            self.starts = np.append(starts, len(every))
+            self.sizes = np.array(list(map(len, self.sets)))
+            self.part = np.array(self.parts)
+        at = np.searchsorted(self.shingles, shingles)
+        at = at[at < len(self.shingles)] if len(at) and at[-1] == len(self.shingles) else at
+        at = at[self.shingles[at] == shingles[: len(at)]]
+        counts = self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(self.starts[at] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(at) else at
+        common = np.bincount(self.owners[rows], minlength=len(self.ids))
+        good = (100 * common >= percent * (self.sizes + len(shingles) - common)) & (self.part != part)
+        return [self.ids[i] for i in np.flatnonzero(good)]
