@@ -17,17 +17,21 @@ from gleanery.llm.common import documents, staged
 LEAST_SCORE = 0.2
 
 
-def with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The given columns, the text replaced and n_chars counted anew."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+def with_text(rows: DataFrame, columns: list[str], given: str) -> DataFrame:
+    """The columns as they are in the struct `given`, but for the text, which is `cleaned`, and n_chars, counted anew."""
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"{given}.{c}")).alias(c) for c in columns))
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns in the struct _docs, where no result can clash with them."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_docs"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep most of their text, without the lines that failed."""
-    judged = quality.assess(docs, with_text=True, carry=True).filter("kept")
-    others = [F.col(f"_given.{c}").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    return with_text(judged.select("doc_id", "cleaned", *others), docs.columns, "cleaned")
+    judged = quality.assess(whole(docs), with_text=True, carry=True).filter("kept")
+    return with_text(judged, docs.columns, "_given._docs")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; those of which no word is left go."""
-    found = line_dedup.deduplicate(docs)
+    found = line_dedup.deduplicate(whole(docs))
     found = found.filter(F.col("removed").isNull() | F.rlike("cleaned", F.lit(r"[^\x20\x09-\x0D]")))
-    return with_text(found, docs.columns, "cleaned")
+    return with_text(found, docs.columns, "_docs")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
