@@ -8,9 +8,10 @@ shares a key is verified with a banded bit-parallel edit distance: for each
 number of edits one bit for each diagonal of the band, stepped over the text.
 
 A line goes if a line that is equal or within k edits stands earlier. Keys are
-shuffled as hashes; a line's text moves once, to be verified. A key is never
-expanded into all pairs of its lines: in each round some of its earliest lines
-(twice as many each round) are compared with later ones not yet decided.
+shuffled as hashes; a line's text moves only if it shares a key. A key is never
+expanded into all pairs of its lines: keys of many lines are narrowed (see
+narrowed()), and in each round some of a key's earliest lines (eight times as
+many each round) are compared with later ones not yet decided.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sizes import broadcast_if_small
 from .common import WORD, carried, documents, id_text, salted_left_join, staged
 
 MAX_EDITS = 1
 #: Shorter lines (in code points) are left as they are.
 MIN_CHARS = 24
+#: Keys of more lines are cut further; windows that keys are cut into, at first and then.
+SMALL, FEW, MANY = 8, 4, 16
+#: Up to so many lines or documents that are wanted are broadcast to the texts; more are joined by a shuffle.
+WANTED_ROWS = 400_000
 ID = ["k1", "k2"]
 
 
@@ -32,9 +38,11 @@ def line_id(line: Column) -> list[Column]:
 
 
 def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line): each document's distinct lines that are long enough."""
-    lines = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: (F.length(x) >= min_chars) & F.rlike(x, F.lit(WORD)))
-    return docs.select("doc_id", F.explode(lines).alias("line"))
+    """(doc_id, line, n): each document's distinct lines that are long enough, and their length."""
+    # the length is a field, so that it is counted once and not wherever it is used
+    lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
+    found = docs.select("doc_id", F.explode(lines).alias("_l")).select("doc_id", "_l.line", "_l.n")
+    return found.filter((F.col("n") >= min_chars) & F.rlike("line", F.lit(WORD)))
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -48,7 +56,7 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def probes(edits: int) -> Column:
-    """All keys of a line: (key, whether the line itself holds it as a segment)."""
+    """All keys of a line: (key, own: the line itself holds it as a segment, number of the segment, how much shorter the other line is)."""
     made = []
     n = F.col("n")
     for shorter in range(edits + 1):
@@ -61,12 +69,59 @@ def probes(edits: int) -> Column:
                 own = shorter == 0 and shift == 0
                 key = F.xxhash64(n - shorter, F.lit(i), F.substring(F.col("line"), at, size))
                 inside = (at >= 1) & (at + size - 1 <= n) & (size >= 1)
-                made.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"))))
+                made.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(i).alias("i"), F.lit(shorter).alias("shorter"))))
     return F.array_compact(F.array(*made))
 
 
+def worth_a_look(keyed: DataFrame) -> DataFrame:
+    """(key) of the keys of several lines, one of which holds it as a segment."""
+    found = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("own").alias("held"))
+    return found.filter("a <> b and held").select("key")
+
+
+def narrowed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """For one edit: keys of all but a window of a line, in place of keys of half a line.
+
+    Lines that share a half agree in all of the rest but one place. So the rest
+    is cut into windows, and a line goes on under a key for each: what lies
+    before it, and what lies behind it. First all keys are cut into FEW windows
+    and then, again and again, those still of more than SMALL lines into MANY,
+    until their windows are single places; lines that share such a key are
+    within one edit. So no key of many lines is left whose lines are to be
+    compared with each other.
+    """
+    known = texts.select(*ID, "line")
+    n = F.length("line")
+    _, size = segment(n - F.col("shorter"), 0, 1)
+    _, last = segment(n - F.col("shorter"), 1, 1)
+    size = F.when(F.col("i") == 0, size).otherwise(last)
+    rest = F.when(F.col("i") == 0, F.substring(F.col("line"), size + 1, n)).otherwise(F.substring(F.col("line"), F.lit(1), n - size))
+    current = members.withColumns({"lo": F.lit(0), "hi": F.lit(-1)})
+    done, large, parts = None, current, FEW
+    while True:
+        cut = large.join(known, ID).withColumns({"_rest": rest, "_r": n - F.col("shorter") - size})
+        cut = cut.withColumn("hi", F.when(F.col("hi") < 0, F.col("_r")).otherwise(F.col("hi")))
+        width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / parts)).cast("int")
+        ends = F.sequence(F.col("lo"), F.greatest(F.col("lo"), F.col("hi") - 1), width)
+        cut = cut.withColumn("_w", width).withColumn("lo", F.explode(ends)).withColumn("hi", F.least(F.col("lo") + F.col("_w"), F.col("hi")))
+        behind = F.col("_r") - F.col("hi")
+        before = F.substring(F.col("_rest"), F.lit(1), F.col("lo"))
+        after = F.substring(F.col("_rest"), F.length("_rest") - behind + 1, behind)
+        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), *ID, "own", "i", "shorter", "at", "lo", "hi")
+        cut = staged(cut, "cut")
+        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", *ID, "i", "shorter", "at", "lo", "hi").agg(F.max("own").alias("own"))
+        cut = staged(cut, "cut")
+        heavy = cut.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("w")).filter((F.col("n") > SMALL) & (F.col("w") > 1))
+        heavy = staged(heavy.select("key"), "heavy")
+        small = cut.join(heavy, "key", "left_anti").select("key", *ID, "own", "at")
+        done = small if done is None else done.union(small)
+        if heavy.isEmpty():
+            return staged(done, "narrowed")
+        large, parts = cut.join(heavy, "key", "left_semi"), MANY
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines are within `edits` edits, by bits for the diagonals of the band.
+    """Whether two lines are within `edits` edits, by bits for the diagonals of the band; b must not be empty.
 
     Bit d + edits of the e-th group says that the first j characters of b and
     the first j + d of a are within e edits. A step matches along a diagonal,
@@ -74,54 +129,57 @@ def within(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
+    long = lambda n: F.lit(n).cast("long")
     start = sum(((sum(1 << d + edits for d in range(e + 1))) & full) << (width * e) for e in range(edits + 1))
 
-    def step(state: Column, j: Column) -> Column:
-        same = F.lit(0).cast("long")
+    def equal(x: Column, c: Column, i: Column) -> Column:
+        """The bits of the diagonals on which b's character equals a's."""
+        found = long(0)
         for d in range(-edits, edits + 1):
-            equal = F.get(F.col("_a"), (j + d - 1).cast("int")) == F.get(F.col("_b"), (j - 1).cast("int"))
-            same = same.bitwiseOR(F.when(equal, F.lit(1 << d + edits).cast("long")).otherwise(F.lit(0).cast("long")))
-        group = lambda s, e: F.shiftright(s, width * e).bitwiseAND(F.lit(full).cast("long"))
-        out, last = None, None
+            found = found.bitwiseOR(F.when(F.get(x["a"], i + d) == c, long(1 << d + edits)).otherwise(long(0)))
+        return found
+
+    def step(state: Column, same: Column) -> Column:
+        out, last, before = None, None, None
         for e in range(edits + 1):
-            now = group(state, e).bitwiseAND(same)
+            group = F.shiftright(state, width * e).bitwiseAND(long(full))
+            now = group.bitwiseAND(same)
             if e:
-                before = group(state, e - 1)
-                now = now.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(last, 1)).bitwiseAND(F.lit(full).cast("long"))
-            last = now
+                now = now.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(last, 1)).bitwiseAND(long(full))
+            last, before = now, group
             out = now if out is None else out.bitwiseOR(F.shiftleft(now, width * e))
         return out
 
-    steps = F.sequence(F.lit(1), F.size("_b"))
-    end = F.aggregate(steps, F.lit(start).cast("long"), step)
-    diagonal = F.size("_a") - F.size("_b")
-    bit = F.call_function("shiftright", end, (diagonal + edits + width * edits).cast("int"))
-    return F.when(F.abs(diagonal) > edits, False).otherwise(bit.bitwiseAND(F.lit(1).cast("long")) == 1)
+    def close(x: Column) -> Column:
+        end = F.aggregate(F.transform(x["b"], lambda c, i: equal(x, c, i)), long(start), step)
+        diagonal = F.size(x["a"]) - F.size(x["b"])
+        bit = F.call_function("shiftright", end, (diagonal + edits + width * edits).cast("int"))
+        return F.when(F.abs(diagonal) > edits, False).otherwise(bit.bitwiseAND(long(1)) == 1)
+
+    # one element, so that the lines are split once and not wherever they are used
+    both = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
+    return F.get(F.transform(both, close), F.lit(0))
 
 
 def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """Keeps the pairs whose lines are within `edits` edits; the second must not be empty."""
-    chars = pairs.withColumns({"_a": F.split(a, ""), "_b": F.split(b, "")})
-    return chars.filter(within(F.col("_a"), F.col("_b"), edits)).drop("_a", "_b")
+    return pairs.filter((F.abs(F.length(a) - F.length(b)) <= edits) & within(F.col(a), F.col(b), edits))
 
 
 def near_earlier(docs: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(k1, k2) of the lines with an unequal line within `edits` that stands earlier (first document, then id)."""
-    spark = docs.sparkSession
-    lines = doc_lines(docs, min_chars).select("line", F.length("line").alias("n"))
-    keyed = lines.select(*line_id(F.col("line")), F.explode(probes(edits)).alias("p")).select("k1", "k2", "p.key", "p.own")
-    shared = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("own").alias("held")).filter("a <> b and held").select("key")
-    members = keyed.join(shared, "key", "left_semi").groupBy("key", *ID).agg(F.max("own").alias("own"))
-    members = staged(members, "keyed")
-    none = spark.createDataFrame([], "k1 long, k2 long")
+    none = docs.sparkSession.createDataFrame([], "k1 long, k2 long")
+    keyed = doc_lines(docs, min_chars).select(*line_id(F.col("line")), F.explode(probes(edits)).alias("p")).select("k1", "k2", "p.*")
+    keyed = staged(keyed, "keyed")
+    members = keyed.join(worth_a_look(keyed), "key", "left_semi").groupBy("key", *ID, "i", "shorter").agg(F.max("own").alias("own"))
+    members = staged(members.join(firsts, ID).withColumn("at", F.struct("first", "k1", "k2")).drop("first"), "members")
     if members.isEmpty():
         return none
-    ids = members.select(*ID).distinct()
-    texts = doc_lines(docs, min_chars).select(*line_id(F.col("line")), "line").join(ids, ID, "left_semi").dropDuplicates(ID)
-    texts = staged(texts, "lines")
-    members = staged(members.join(firsts, ID).select("key", *ID, "own", F.struct("first", "k1", "k2").alias("at")), "keyed")
+    texts = doc_lines(docs, min_chars).select(*line_id(F.col("line")), "line").join(broadcast_if_small(members.select(*ID).distinct(), WANTED_ROWS), ID, "left_semi")
+    texts = staged(texts.groupBy(*ID, "line").agg(F.lit(1).alias("_one")).drop("_one"), "lines")
+    members = narrowed(members, texts) if edits == 1 else members.select("key", *ID, "own", "at")
 
-    gone, done, each = none, F.lit(0), 1
+    gone, done, each = none, 0, 1
     while True:
         # members of a key in order; the earliest `each` of those behind the pointer lead
         open_lines = members.join(gone, ID, "left_anti")
@@ -137,7 +195,7 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, edits: int, min_chars: int)
         both = met.join(texts, ID).join(texts.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("line").alias("other")), ["l1", "l2"])
         found = bit_parallel(both, "line", "other", edits).select(*ID).distinct()
         gone = staged(gone.union(found).distinct(), "gone")
-        done, each = done + each, each * 2
+        done, each = done + each, each * SMALL
 
 
 def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -193,7 +251,7 @@ def deduplicate(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     lines = F.split("_text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return given.join(flags, ["_id", "_row"], "left").select(
+    return given.join(broadcast_if_small(flags, WANTED_ROWS), ["_id", "_row"], "left").select(
         "_given.*",
         "removed",
         F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
