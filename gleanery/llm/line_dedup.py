@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sizes import broadcast_if_small
-from .common import WORD, carried, documents, id_text, salted_left_join, staged
+from .common import carried, documents, id_text, salted_left_join, staged
 
 MAX_EDITS = 1
 #: Shorter lines (in code points) are left as they are.
@@ -34,7 +34,11 @@ ID = ["k1", "k2"]
 
 def line_id(line: Column) -> list[Column]:
     """128 bits that stand for the line."""
-    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), F.reverse(line)).alias("k2")]
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2")]
+
+
+def has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
 
 
 def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -42,7 +46,7 @@ def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     # the length is a field, so that it is counted once and not wherever it is used
     lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
     found = docs.select("doc_id", F.explode(lines).alias("_l")).select("doc_id", "_l.line", "_l.n")
-    return found.filter((F.col("n") >= min_chars) & F.rlike("line", F.lit(WORD)))
+    return found.filter((F.col("n") >= min_chars) & has_word(F.col("line")))
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -166,11 +170,14 @@ def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     return pairs.filter((F.abs(F.length(a) - F.length(b)) <= edits) & within(F.col(a), F.col(b), edits))
 
 
-def near_earlier(docs: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def keyed_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(doc_id, k1, k2, key, own, i, shorter): every document's distinct lines under all their keys."""
+    return doc_lines(docs, min_chars).select("doc_id", *line_id(F.col("line")), F.explode(probes(edits)).alias("p")).select("doc_id", "k1", "k2", "p.*")
+
+
+def near_earlier(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(k1, k2) of the lines with an unequal line within `edits` that stands earlier (first document, then id)."""
     none = docs.sparkSession.createDataFrame([], "k1 long, k2 long")
-    keyed = doc_lines(docs, min_chars).select(*line_id(F.col("line")), F.explode(probes(edits)).alias("p")).select("k1", "k2", "p.*")
-    keyed = staged(keyed, "keyed")
     members = keyed.join(worth_a_look(keyed), "key", "left_semi").groupBy("key", *ID, "i", "shorter").agg(F.max("own").alias("own"))
     members = staged(members.join(firsts, ID).withColumn("at", F.struct("first", "k1", "k2")).drop("first"), "members")
     if members.isEmpty():
@@ -213,16 +220,18 @@ def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MI
     rows.
     """
     base = id_text(docs)
-    narrow = doc_lines(base, min_chars).select("doc_id", *line_id(F.col("line")))
+    keyed = staged(keyed_lines(base, edits, min_chars), "keyed")
+    # a line holds just one key as its first segment
+    narrow = keyed.filter("own and i = 0")
     firsts = staged(narrow.groupBy(*ID).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "first-lines")
-    near = near_earlier(base, firsts.select(*ID, "first"), edits, min_chars).withColumn("near", F.lit(True))
+    near = near_earlier(base, keyed, firsts.select(*ID, "first"), edits, min_chars).withColumn("near", F.lit(True))
     # decisions on lines that are not simply kept
     decided = firsts.join(near, ID, "left").filter("n_docs > 1 or near").select(*ID, "first", F.coalesce("near", F.lit(False)).alias("near"))
     decided = staged(decided, "decided")
 
     lines = F.split("text", "\n")
     every = base.select("doc_id", F.xxhash64("text").alias("_row"), F.posexplode(lines).alias("pos", "line"))
-    every = every.filter((F.length("line") >= min_chars) & F.rlike("line", F.lit(WORD))).select("doc_id", "_row", "pos", *line_id(F.col("line")))
+    every = every.filter((F.length("line") >= min_chars) & has_word(F.col("line"))).select("doc_id", "_row", "pos", *line_id(F.col("line")))
     # one row for each line of a document, so that a line repeated in it comes once
     grouped = every.groupBy("doc_id", "_row", *ID).agg(F.array_sort(F.collect_set("pos")).alias("at"))
     judged = salted_left_join(grouped, decided, ID, F.col("doc_id"))
