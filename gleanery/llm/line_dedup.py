@@ -10,8 +10,12 @@ number of edits one bit for each diagonal of the band, stepped over the text.
 A line goes if a line that is equal or within k edits stands earlier. Keys are
 shuffled as hashes; a line's text moves only if it shares a key. A key is never
 expanded into all pairs of its lines: keys of many lines are narrowed (see
-narrowed()), and in each round some of a key's earliest lines (eight times as
-many each round) are compared with later ones not yet decided.
+narrowed() and by_length()), and in each round some of a key's earliest lines
+(eight times as many each round) are compared with later ones not yet decided.
+
+How many edits count as near grows with the shorter line, see allowed(). From
+two edits on, lines fall into classes by length and the k + 1 segments have one
+size in a class, so that their keys need no exact length: see wide_probes().
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from ..sizes import broadcast_if_small
 from .common import carried, documents, id_text, salted_left_join, staged
 
-MAX_EDITS = 1
+#: Characters of the shorter line for each edit that counts as near, and edits (the length of a word) at which that ends.
+CHARS_PER_EDIT, MOST_EDITS = 16, 8
 #: Shorter lines (in code points) are left as they are.
 MIN_CHARS = 24
 #: Keys of more lines are cut further; windows that keys are cut into, at first and then.
@@ -77,6 +82,62 @@ def probes(edits: int) -> Column:
     return F.array_compact(F.array(*made))
 
 
+def allowed(n: Column) -> Column:
+    """Edits up to which a line is near one of n characters, if no other line is shorter."""
+    return F.least(F.lit(MOST_EDITS), F.floor(n / CHARS_PER_EDIT)).cast("int")
+
+
+def wide_probes() -> Column:
+    """Like probes(), for all lines of two edits or more at once; `shorter` is -1.
+
+    A class is of one number k of edits and the least length m of its lines;
+    those of MOST_EDITS double m. The k + 1 segments of a class have equal
+    sizes: the first half is counted from the line's start, the others from its
+    end. Of the segments of the shorter line there is one, the i-th, that is
+    intact with i edits at most before it and k - i behind it, so its place in
+    the other line is off by no more than that from the nearer end. The longer
+    line may be of the next class, so a line near the lower end of its class is
+    looked up in the class below too.
+    """
+    n, k = F.col("n"), allowed(F.col("n"))
+    top = CHARS_PER_EDIT * MOST_EDITS
+    doubled = F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(float(top)))))
+    least = F.when(n >= top, (doubled * top).cast("int")).otherwise(k * CHARS_PER_EDIT)
+    below = F.when(least > top, (least / 2).cast("int")).otherwise(least - CHARS_PER_EDIT)
+    own = F.struct(k.alias("k"), least.alias("m"), F.lit(True).alias("own"))
+    under = F.struct(allowed(below).alias("k"), below.alias("m"), F.lit(False).alias("own"))
+    classes = F.when((allowed(below) >= 2) & (n - allowed(below) < least), F.array(own, under)).otherwise(F.array(own))
+
+    def of_class(c: Column) -> Column:
+        size = F.floor(c["m"] / (c["k"] + 1)).cast("int")
+
+        def of_segment(i: Column) -> Column:
+            off = F.least(i, c["k"] - i)
+            left = i * 2 <= c["k"]
+            start = F.when(left, i * size + 1).otherwise(n - (c["k"] + 1 - i) * size + 1)
+
+            def at(shift: Column) -> Column:
+                key = F.when((start + shift >= 1) & (start + shift + size - 1 <= n), F.xxhash64(F.lit(-1), c["m"], i, F.substring(F.col("line"), start + shift, size)))
+                return F.struct(key.alias("key"), (c["own"] & (shift == 0)).alias("own"), i.alias("i"), F.lit(-1).alias("shorter"))
+
+            return F.transform(F.sequence(-off, off), at)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), c["k"]), of_segment))
+
+    return F.filter(F.flatten(F.transform(classes, of_class)), lambda x: x["key"].isNotNull())
+
+
+def all_probes(edits: int | None) -> Column:
+    """The keys of a line for a fixed number of edits, or for what allowed() gives; a line that is near none has one without a key."""
+    if edits is not None:
+        return probes(edits)
+    n, two = F.col("n"), 2 * CHARS_PER_EDIT
+    none = F.array(F.struct(F.lit(None).cast("long").alias("key"), F.lit(True).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("shorter")))
+    # the longer line of a pair with one edit may be of the next class; what it holds itself is then found in that
+    over = F.transform(probes(1), lambda x: x.withField("own", F.lit(False)))
+    return F.when(n < CHARS_PER_EDIT, none).when(n < two, probes(1)).when(n == two, F.concat(wide_probes(), over)).otherwise(wide_probes())
+
+
 def worth_a_look(keyed: DataFrame) -> DataFrame:
     """(key) of the keys of several lines, one of which holds it as a segment."""
     found = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("own").alias("held"))
@@ -124,6 +185,23 @@ def narrowed(members: DataFrame, texts: DataFrame) -> DataFrame:
         large, parts = cut.join(heavy, "key", "left_semi"), MANY
 
 
+def by_length(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """For more edits: keys of many lines, cut by the lines' length.
+
+    Near lines' lengths differ by MOST_EDITS at most. So a line goes on under
+    the key with its step of that many lengths, and under those with the steps
+    before and behind, as one that only looks up the lines there.
+    """
+    heavy = staged(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "heavy")
+    small = members.join(heavy, "key", "left_anti").select("key", *ID, "own", "at")
+    step = F.floor(F.length("line") / MOST_EDITS)
+    cut = members.join(heavy, "key", "left_semi").join(texts.select(*ID, step.alias("_step")), ID)
+    cut = cut.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), *ID, (F.col("own") & (F.col("_by") == 0)).alias("own"), "at")
+    cut = staged(cut, "cut")
+    return staged(small.union(cut.join(worth_a_look(cut), "key", "left_semi")), "narrowed")
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines are within `edits` edits, by bits for the diagonals of the band; b must not be empty.
 
@@ -170,21 +248,35 @@ def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     return pairs.filter((F.abs(F.length(a) - F.length(b)) <= edits) & within(F.col(a), F.col(b), edits))
 
 
-def keyed_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_pairs(pairs: DataFrame, a: str, b: str, edits: int | None) -> DataFrame:
+    """Keeps the pairs whose lines are within `edits` edits, or within those that the shorter one allows."""
+    if edits is not None:
+        return bit_parallel(pairs, a, b, edits)
+    most = allowed(F.least(F.length(a), F.length(b)))
+    apart = F.levenshtein(F.col(a), F.col(b), MOST_EDITS)
+    return pairs.filter((F.abs(F.length(a) - F.length(b)) <= most) & apart.between(F.lit(0), most))
+
+
+def keyed_lines(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
     """(doc_id, k1, k2, key, own, i, shorter): every document's distinct lines under all their keys."""
-    return doc_lines(docs, min_chars).select("doc_id", *line_id(F.col("line")), F.explode(probes(edits)).alias("p")).select("doc_id", "k1", "k2", "p.*")
+    return doc_lines(docs, min_chars).select("doc_id", *line_id(F.col("line")), F.explode(all_probes(edits)).alias("p")).select("doc_id", "k1", "k2", "p.*")
 
 
-def near_earlier(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(k1, k2) of the lines with an unequal line within `edits` that stands earlier (first document, then id)."""
+def near_earlier(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
+    """(k1, k2) of the lines with an unequal line near them that stands earlier (first document, then id)."""
     none = docs.sparkSession.createDataFrame([], "k1 long, k2 long")
+    keyed = keyed.filter("key is not null")
     members = keyed.join(worth_a_look(keyed), "key", "left_semi").groupBy("key", *ID, "i", "shorter").agg(F.max("own").alias("own"))
     members = staged(members.join(firsts, ID).withColumn("at", F.struct("first", "k1", "k2")).drop("first"), "members")
     if members.isEmpty():
         return none
     texts = doc_lines(docs, min_chars).select(*line_id(F.col("line")), "line").join(broadcast_if_small(members.select(*ID).distinct(), WANTED_ROWS), ID, "left_semi")
     texts = staged(texts.groupBy(*ID, "line").agg(F.lit(1).alias("_one")).drop("_one"), "lines")
-    members = narrowed(members, texts) if edits == 1 else members.select("key", *ID, "own", "at")
+    if edits is None:
+        one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
+        members = narrowed(one, texts).union(by_length(more, texts))
+    else:
+        members = narrowed(members, texts) if edits == 1 else members.select("key", *ID, "own", "at")
 
     gone, done, each = none, 0, 1
     while True:
@@ -200,19 +292,21 @@ def near_earlier(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, edits: in
         met = open_lines.join(leaders, "key").filter("at > lead and (own or _own)")
         met = met.select(*ID, F.col("lead.k1").alias("l1"), F.col("lead.k2").alias("l2")).distinct()
         both = met.join(texts, ID).join(texts.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("line").alias("other")), ["l1", "l2"])
-        found = bit_parallel(both, "line", "other", edits).select(*ID).distinct()
+        found = near_pairs(both, "line", "other", edits).select(*ID).distinct()
         gone = staged(gone.union(found).distinct(), "gone")
         done, each = done + each, each * SMALL
 
 
-def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, _row, n_exact, n_near, removed) of the documents that lose lines; _row is the text's hash.
 
     A line of at least min_chars code points with a word goes if an equal line
     stands earlier in its document or in a document with a smaller doc_id
     (exact), or if a line within `edits` edits does (near; between lines of the
-    same first document, the smaller id counts as earlier). removed holds the
-    numbers of these lines, from 0, in order. Shorter lines stay.
+    same first document, the smaller id counts as earlier). Without `edits`,
+    the shorter of two lines gives their number: one for each CHARS_PER_EDIT
+    characters, up to MOST_EDITS. removed holds the numbers of these lines,
+    from 0, in order. Shorter lines stay.
 
     A null or empty text has one empty line, which stays. Rows that repeat a
     doc_id count as one document: a line of theirs is removed from neither row
@@ -246,7 +340,7 @@ def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MI
     )
 
 
-def deduplicate(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `removed`, `n_exact`, `n_near` and `cleaned`: the text without the lines that go.
 
     See duplicate_lines(). Texts with nothing to remove are returned as they

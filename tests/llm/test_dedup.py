@@ -209,3 +209,29 @@ def test_empty_tables(spark):
     none = frame(spark, []) if False else spark.createDataFrame([], "doc_id long, text string")
     for df in (exact_dedup.exact_duplicates(none), near_dup.near_duplicates(none), line_dedup.deduplicate(none)):
         assert df.collect() == []
+
+
+def test_lines_that_differ_in_a_word(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdeé漢") for _ in range(pick.randint(2, 9)))
+    least = lambda x, y: min(line_dedup.MOST_EDITS, min(len(x), len(y)) // line_dedup.CHARS_PER_EDIT)
+    lines = []
+    for n in [24, 26, 30, 31, 32, 33, 40, 47, 48, 50, 63, 64, 66, 79, 80, 96, 100, 111, 112, 120, 127, 128, 130, 140, 200, 255, 256, 260, 300, 511, 512, 520]:
+        for _ in range(4):
+            line = (" ".join(word() for _ in range(200)))[: n - 1] + "."
+            lines.append(line)
+            for edits in pick.sample(range(1, 11), 3):
+                own, at = list(line), pick.randrange(n)
+                for _ in range(edits):  # in one place or anywhere
+                    k = min(at + pick.randrange(4), len(own) - 1) if edits % 2 else pick.randrange(len(own))
+                    own[k : k + 1] = pick.choice([["x"], [], [own[k], "y"]])
+                lines.append("".join(own))
+    pick.shuffle(lines)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    want = set()
+    for i, x in rows:
+        near = lambda y: 0 < abs(len(x) - len(y)) + (x != y) and abs(len(x) - len(y)) <= least(x, y) and distance(x, y) <= least(x, y)  # noqa: B023, E731
+        if len(x) >= 24 and any(len(y) >= 24 and near(y) for y in lines[:i]):
+            want.add(i)
+    got = line_dedup.deduplicate(frame(spark, rows), min_chars=24).filter("n_near > 0").select("doc_id").collect()
+    assert len(want) > 100 and {r.doc_id for r in got} == want
