@@ -28,8 +28,8 @@ from .common import carried, documents, id_text, salted_left_join, staged
 
 #: Characters of the shorter line for each edit that counts as near, and edits (the length of a word) at which that ends.
 CHARS_PER_EDIT, MOST_EDITS = 16, 8
-#: Shorter lines (in code points) are left as they are.
-MIN_CHARS = 24
+#: Shorter lines (in code points) are left as they are. Lines of less than CHARS_PER_EDIT are near none, so only their copies go.
+MIN_CHARS = 1
 #: Keys of more lines are cut further; windows that keys are cut into, at first and then.
 SMALL, FEW, MANY = 8, 4, 16
 #: Up to so many lines or documents that are wanted are broadcast to the texts; more are joined by a shuffle.

@@ -235,3 +235,12 @@ def test_lines_that_differ_in_a_word(spark):
             want.add(i)
     got = line_dedup.deduplicate(frame(spark, rows), min_chars=24).filter("n_near > 0").select("doc_id").collect()
     assert len(want) > 100 and {r.doc_id for r in got} == want
+
+
+def test_copies_of_short_lines(spark):
+    short = ["All rights reserved.", "And ornd.", "漢字の文です。", "x"]
+    rows = [(i, "\n".join([*short, f"one of its own {i}"[-(i + 3) :], "", " "])) for i in range(4)] + [(9, "All rights reserved!\n\nx\nx")]
+    got = {r.doc_id: (r.n_exact, r.n_near, r.cleaned) for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got[0] == (0, 0, rows[0][1])
+    assert all(got[i][:2] == (4, 0) and not set(short) & set(got[i][2].split("\n")) and got[i][2].endswith("\n\n ") for i in (1, 2, 3))
+    assert got[9] == (2, 1, "")
