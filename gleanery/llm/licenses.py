@@ -9,6 +9,10 @@ shingles resembles it by `least_resemblance()` at least, so a band misses it
 with one less that chance and all bands with its power: below 1e-6 for every
 template, which templates() asserts. Exact containment of shingles decides.
 
+A template of fewer than five words is one shingle, the whole of it, and is in
+a class with those of its own length. Its windows are five words at every word,
+and each of their runs of that length is a key, in place of the bands.
+
 Only windows with a telling word are looked at. That loses nothing: more than
 a fifth of each template's shingles hold a telling word, so no 0.8 of them can
 do without one; templates() asserts that too.
@@ -35,8 +39,13 @@ NOTICES = {
     "cc-by-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "rights-reserved": "Copyright holder. All rights reserved. No part of this publication may be reproduced without permission.",
-    "spdx-mit": "SPDX-License-Identifier: MIT License text",
+    "rights-reserved": "All rights reserved.",
+    "rights-reserved-publication": "Copyright holder. All rights reserved. No part of this publication may be reproduced without permission.",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
     "apache-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
@@ -74,12 +83,19 @@ def split_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else " " for c in text))
 
 
+def runs(words: list[str], size: int) -> set[str]:
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
 def shingles(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+    """All that a template can share with these words: runs of SHINGLE words and, for short templates, of fewer."""
+    return set().union(*(runs(words, size) for size in range(1, SHINGLE + 1)))
 
 
 def steps(longest: int) -> tuple[int, int]:
     """Words in a window of the class, and between the starts of two."""
+    if longest < SHINGLE:
+        return SHINGLE, 1
     stride = max(1, longest // 4)
     return longest + stride - 1, stride
 
@@ -92,33 +108,34 @@ def least_resemblance(n_words: int, longest: int) -> float:
 
 
 def templates(notices: dict[str, str] = NOTICES) -> list[tuple[str, int, list[str]]]:
-    """(name, longest of its class, shingles); the classes' lengths grow by a quarter."""
+    """(name, longest of its class, shingles); the classes' lengths grow by a quarter, below SHINGLE each length is one."""
     words = {name: split_words(text) for name, text in notices.items()}
     limits: list[int] = []
-    for n in sorted(map(len, words.values()), reverse=True):
-        if not limits or n * 1.25 < limits[-1]:
+    for n in sorted(set(map(len, words.values())), reverse=True):
+        if not limits or n * 1.25 < limits[-1] or n < SHINGLE:
             limits.append(n)
     found = []
     for name, own in words.items():
-        if len(own) < SHINGLE:
-            raise ValueError(f"{name} has fewer than {SHINGLE} words")
+        if not own:
+            raise ValueError(f"{name} has no words")
         longest = min(x for x in limits if x >= len(own))
-        grams = shingles(own)
+        grams = runs(own, min(len(own), SHINGLE))
         telling = sum(any(w in TELLING for w in g.split()) for g in grams)
         if telling <= (1 - CONTAINED) * len(grams):
             raise ValueError(f"{name}: too few shingles hold a telling word")
-        if (1 - least_resemblance(len(own), longest)) ** BANDS > 1e-6:
+        if len(own) >= SHINGLE and (1 - least_resemblance(len(own), longest)) ** BANDS > 1e-6:
             raise ValueError(f"{name}: the bands would miss it too often")
         found.append((name, longest, sorted(grams)))
     return found
 
 
 def band_keys(grams: Column, longest: Column) -> Column:
-    """One key for each band: its number, the class and the smallest hash of a shingle."""
-    return F.transform(
+    """One key for each band: its number, the class and the smallest hash of a shingle; of a short class each shingle is a key."""
+    bands = F.transform(
         F.sequence(F.lit(1), F.lit(BANDS)),
         lambda j: F.xxhash64(j, longest, F.array_min(F.transform(grams, lambda g: F.xxhash64(j, g)))),
     )
+    return F.when(longest < SHINGLE, F.transform(grams, lambda g: F.xxhash64(F.lit(0), longest, g))).otherwise(bands)
 
 
 def template_table(spark: SparkSession, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -149,7 +166,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): each document and template that it holds.
 
     A template is held where a window of its class contains at least 0.8 of its
-    five-word shingles (ASCII letters and digits, in lower case). containment
+    five-word shingles (ASCII letters and digits, in lower case); one of fewer
+    words has to be there as a whole. containment
     is the best window's, first_word the number of the earliest such window's
     first word, n_windows how many there are. Null, empty and short texts hold
     none, and documents that hold none have no row. Rows that repeat a doc_id
@@ -163,8 +181,9 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     table = template_table(spark, notices)
     lengths = sorted({longest for _, longest, _ in templates(notices)})
     seen = windows(docs, lengths)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))
-    seen = seen.filter(F.size("words") >= SHINGLE).withColumn("grams", grams)
+    width = F.least(F.col("longest"), F.lit(SHINGLE))
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.array_join(F.slice("words", i, width), " "))
+    seen = seen.filter(F.size("words") >= width).withColumn("grams", grams)
     keyed = seen.withColumn("key", F.explode(band_keys(F.col("grams"), F.col("longest"))))
     banded = table.select("license", "t_grams", F.explode(band_keys(F.col("t_grams"), F.col("longest"))).alias("key"))
     met = keyed.join(F.broadcast(banded), "key").dropDuplicates(["doc_id", "longest", "start", "license"])

@@ -182,3 +182,21 @@ def test_licenses(spark):
     got = {(r.doc_id, r.license): (r.containment, r.first_word, r.n_windows) for r in licenses.scan(docs).collect()}
     assert got == brute_scan(rows)
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_short_licenses(spark):
+    lines = {
+        "All rights reserved.": "rights-reserved",
+        "© 2020 Someone. ALL RIGHTS  RESERVED": "rights-reserved",
+        "// SPDX-License-Identifier: MIT": "spdx-mit",
+        "# SPDX-License-Identifier: Apache-2.0": "spdx-apache",
+        "All rights are reserved.": None,
+        "SPDX-License-Identifier: Zlib": None,
+    }
+    rows, want = [], set()
+    for around in (("", ""), ("some words of a text in front of it\n", ""), ("", "\nand some more words that come behind it")):
+        for line, license in lines.items():
+            want |= {(len(rows), license)} if license else set()
+            rows.append((len(rows), line.join(around)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == want
