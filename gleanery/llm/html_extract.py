@@ -37,6 +37,9 @@ SENTENCE_END = re.compile(r"[.!?…。！？](?:\s|$)")
 #: HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea".split())
+#: What such an element holds is no markup; unclosed, it takes the rest of the page.
+RAW = frozenset("script style iframe textarea".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in UNSEEN}
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input nobr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends these open siblings, up to the given containers.
@@ -53,7 +56,7 @@ class Tree:
         self._read(page)
 
     def _read(self, page: str) -> None:
-        at, lower = 0, None
+        at, unclosed = 0, set()
         while (m := TOKEN.search(page, at)) is not None:
             if m.start() > at:
                 self._text(page[at : m.start()])
@@ -64,13 +67,14 @@ class Tree:
             elif opening:
                 tag, attributes = opening.lower(), m[3] or m[5] or ""
                 if tag in UNSEEN:
-                    if not attributes.endswith("/"):
-                        lower = lower or page.lower()
-                        end = lower.find(f"</{tag}", at)
-                        if end < 0:
-                            at = len(page) if tag not in ("head", "title") else at
+                    if not attributes.endswith("/") and tag not in unclosed:
+                        end = END[tag].search(page, at)
+                        if end:
+                            at = end.start()
+                        elif tag in RAW:
+                            at = len(page)
                         else:
-                            at = end
+                            unclosed.add(tag)
                 else:
                     self._open(tag, attributes)
         if at < len(page):

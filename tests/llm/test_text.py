@@ -200,3 +200,34 @@ def test_short_licenses(spark):
             rows.append((len(rows), line.join(around)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == want
+
+
+FIRST, LAST = "The first paragraph is long enough to be read. It goes on.", "The last paragraph of the text is long enough too. It ends here."
+
+
+def held(page):
+    tree = html_extract.Tree(page)
+    return [t for t, tag in zip(tree.texts, tree.tags) if tag == "#"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "svg", "SCRIPT"])
+def test_places_of_end_tags_where_lower_case_is_longer(tag, model):
+    many = "İ" * 40 + " " + FIRST
+    page = f"<body><article><p>{many}</p><{tag}>x</{tag}><p>{LAST}</p></article></body>"
+    assert held(page) == [many, LAST] and model.main_text(page) == f"{many}\n\n{LAST}"
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "audio", "video", "template", "noscript"])
+def test_unclosed_elements_do_not_hide_the_rest(tag):
+    assert held(f"<body><p>{FIRST}</p><{tag} class=x><p>{LAST}</p><{tag}></body>") == [FIRST, LAST]
+    assert held(f"<body><p>{FIRST}</p><{tag}>no</{tag}\n><p>{LAST}</p></body>") == [FIRST, LAST]
+
+
+def test_raw_text_hides_the_rest_and_ends_at_its_own_name():
+    assert held(f"<p>{FIRST}</p><script>var x; <p>{LAST}</p>") == [FIRST]
+    assert held(f"<p>{FIRST}</p><script>'</scripts>'</script ><p>{LAST}</p>") == [FIRST, LAST]
+
+
+def test_a_head_without_end_tag():
+    page = f"<html><head><title>T</title><style>p{{}}</style><meta charset=utf-8><body><header><h1>A title</h1></header><p>{FIRST}</p></body></html>"
+    assert held(page) == ["A title", FIRST]
