@@ -144,9 +144,9 @@ def template_table(spark: SparkSession, notices: dict[str, str] = NOTICES) -> Da
 
 
 def windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, longest, start, words) of all windows that hold a telling word."""
+    """(doc_id, _row, longest, start, words) of all windows that hold a telling word; _row is the text's hash."""
     told = id_text(docs).filter(F.rlike("text", F.lit("(?i)" + "|".join(TELLING))))
-    worded = told.select("doc_id", F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", " ")), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    worded = told.select("doc_id", F.xxhash64("text").alias("_row"), F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", " ")), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
     telling = F.array(*map(F.lit, TELLING))
     at = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(telling, x), i)), lambda i: i.isNotNull())
     placed = worded.withColumn("_at", at).filter(F.size("_at") > 0)
@@ -159,7 +159,7 @@ def windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
         numbers = F.array_distinct(F.flatten(F.transform("_at", of_word)))
         own = F.transform(numbers, lambda k: F.struct(F.lit(longest).alias("longest"), (k * stride).alias("start"), F.slice("w", k * stride + 1, size).alias("words")))  # noqa: B023
         made = own if made is None else F.concat(made, own)
-    return placed.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.longest", "x.start", "x.words")
+    return placed.select("doc_id", "_row", F.explode(made).alias("x")).select("doc_id", "_row", "x.longest", "x.start", "x.words")
 
 
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     seen = seen.filter(F.size("words") >= width).withColumn("grams", grams)
     keyed = seen.withColumn("key", F.explode(band_keys(F.col("grams"), F.col("longest"))))
     banded = table.select("license", "t_grams", F.explode(band_keys(F.col("t_grams"), F.col("longest"))).alias("key"))
-    met = keyed.join(F.broadcast(banded), "key").dropDuplicates(["doc_id", "longest", "start", "license"])
+    met = keyed.join(F.broadcast(banded), "key").dropDuplicates(["doc_id", "_row", "longest", "start", "license"])
     share = F.size(F.array_intersect("grams", "t_grams")) / F.size("t_grams")
     held = met.select("doc_id", "license", "start", share.alias("share")).filter(F.col("share") >= CONTAINED)
     return held.groupBy("doc_id", "license").agg(

@@ -116,7 +116,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, hashes: int = HASHES, bands: int = BANDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys, packed low bits)."""
+    """(doc_id, row, n_shingles, digest of the set, band keys, packed low bits); row is the text's hash."""
     arrow_bounds(docs.sparkSession)
 
     def run(batches):
@@ -128,28 +128,29 @@ def signatures(docs: DataFrame, width: int, hashes: int = HASHES, bands: int = B
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array(list(map(len, sets)), pa.int64()),
                     pa.array(map(digest, sets), pa.binary()),
                     lists([k for k, _ in own]),
                     lists([p for _, p in own]),
                 ],
-                ["doc_id", "n_shingles", "digest", "bands", "packed"],
+                ["doc_id", "row", "n_shingles", "digest", "bands", "packed"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>")
+    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, digest binary, bands array<long>, packed array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted (doc_id, digest); the digest tells rows with one doc_id apart."""
+    """(doc_id, shingles) of the wanted (doc_id, digest, node), with the node as doc_id; the digest tells rows with one doc_id apart."""
     arrow_bounds(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             own = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist())) if digest(s) == d]
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(own, pa.int64())), lists([sets[i] for i in own])], ["doc_id", "shingles"])
+            yield pa.record_batch([batch.column("node").take(pa.array(own, pa.int64())), lists([sets[i] for i in own])], ["doc_id", "shingles"])
 
-    joined = id_text(docs).join(broadcast_if_small(wanted.select("doc_id", "digest"), WANTED_ROWS), "doc_id").select("doc_id", "text", "digest")
+    joined = id_text(docs).join(broadcast_if_small(wanted.select("doc_id", "digest", "node"), WANTED_ROWS), "doc_id").select("node", "text", "digest")
     return joined.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
@@ -175,7 +176,7 @@ def least_estimate(threshold: float, hashes: int = HASHES, bits: int = BITS) ->
     return threshold - MARGIN * (equal * (1 - equal) / hashes) ** 0.5 / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = HASHES, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = HASHES, bands: int = BANDS, bits: int = BITS, rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
     Documents are linked where 100 * intersection >= percent * union of their
@@ -183,7 +184,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     kept is doc_id = component_id. A null, empty or blank text has no shingles
     and is linked with nothing. Texts with fewer words than `width` are one
     shingle. Rows that repeat a doc_id each get a row; equal ones share all
-    values. A text whose class has no doc_id but null is linked with nothing. An
+    values. Different texts of one doc_id are linked each for itself; their
+    components are apart even if component_id is the same for them. With `rows`
+    there are two more columns: row, the text's hash, and group, which names the
+    component (of a text without shingles, the doc_id and text). A text whose class has no doc_id but null is linked with nothing. An
     empty table gives no rows.
 
     Texts are read twice: for the signatures, and for the full sets of those
@@ -193,22 +197,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     classes = staged(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     first = signed.join(classes, "digest").filter("doc_id = rep").select("doc_id", "digest", "packed", "bands")
     first = staged(first, "representatives")
-    # only a table that repeats rows needs the costly step of dropping them
+    # only a table that repeats rows needs the costly steps of dropping them and of numbering what is left
     repeats = not first.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeats:
-        first = staged(first.dropDuplicates(["doc_id"]), "representatives")
+        first = staged(first.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "representatives")
+    else:
+        first = first.withColumn("node", F.col("doc_id"))
 
-    dealt = first.select("doc_id", F.explode("bands").alias("bucket"))
+    dealt = first.select(F.col("node").alias("doc_id"), F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(dealt.join(shared, "bucket"), "members")
-    wanted = first.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = first.join(members.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
     sets = full_sets(docs, wanted, width)
     sets = staged(sets.dropDuplicates(["doc_id"]) if repeats else sets, "sets")
-    labels = Linker(members, staged(wanted.select("doc_id", "packed"), "packed"), sets, percent, hashes, bits).labels()
-    roots = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
-    out = salted_left_join(signed.select("doc_id", "n_shingles", "digest"), roots, ["digest"], F.col("doc_id"))
+    labels = Linker(members, staged(wanted.select(F.col("node").alias("doc_id"), "packed"), "packed"), sets, percent, hashes, bits).labels()
+    if repeats:
+        named = first.select("node", "digest", "doc_id").join(labels, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("_group"))
+        smallest = named.groupBy("_group").agg(F.min("doc_id").alias("_root"))
+        roots = staged(named.join(smallest, "_group").select("digest", "_root", "_group"), "roots")
+    else:
+        roots = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
+        roots = roots.withColumn("_group", F.col("_root"))
+    out = salted_left_join(signed.select("doc_id", "row", "n_shingles", "digest"), roots, ["digest"], F.col("doc_id"))
     component = F.coalesce("_root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
+    if rows:
+        blank = F.concat_ws(":", F.lit("blank"), F.col("doc_id").cast("string"), F.col("row").cast("string"))
+        group = F.when(F.col("n_shingles") == 0, blank).otherwise(F.coalesce(F.col("_group").cast("string"), F.hex("digest")))
+        found += ["row", group.alias("group")]
+    return out.select(*found)
 
 
 class Linker:

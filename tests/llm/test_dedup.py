@@ -244,3 +244,18 @@ def test_copies_of_short_lines(spark):
     assert got[0] == (0, 0, rows[0][1])
     assert all(got[i][:2] == (4, 0) and not set(short) & set(got[i][2].split("\n")) and got[i][2].endswith("\n\n ") for i in (1, 2, 3))
     assert got[9] == (2, 1, "")
+
+
+def test_near_with_two_texts_of_one_id(spark):
+    pick = random.Random(12)
+    made = lambda: [f"w{pick.randrange(10_000)}" for _ in range(60)]
+    rows, want = [], {}
+    for i in range(0, 60, 3):
+        one, other = made(), made()
+        texts = [(i, one), (i, other), (i + 1, one[:-1] + ["x"]), (i + 2, other[:-1] + ["y"])]
+        rows += [(j, " ".join(t)) for j, t in texts]
+        want |= {j: [(i, j == i)] * (2 if j == i else 1) for j, _ in texts}
+    got = near_dup.near_duplicates(frame(spark, rows), rows=True).collect()
+    assert {j: sorted((r.component_id, r.kept) for r in got if r.doc_id == j) for j in want} == want
+    sizes = {g: sum(r.group == g for r in got) for g in {r.group for r in got}}
+    assert set(sizes.values()) == {2} and len(sizes) == 40

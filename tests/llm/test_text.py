@@ -231,3 +231,11 @@ def test_raw_text_hides_the_rest_and_ends_at_its_own_name():
 def test_a_head_without_end_tag():
     page = f"<html><head><title>T</title><style>p{{}}</style><meta charset=utf-8><body><header><h1>A title</h1></header><p>{FIRST}</p></body></html>"
     assert held(page) == ["A title", FIRST]
+
+
+def test_licenses_of_two_texts_of_one_id(spark):
+    held = "Licensed under the Apache License, Version 2.0."
+    # the other text shares shingles of the license, at the same place, but not enough of them
+    rows = [(i, t) for i in range(40) for t in (held, "Licensed under the Apache License, as you know it.")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).filter("license = 'apache-line'").collect()
+    assert len(got) == 40 and {r.containment for r in got} == {1.0}
