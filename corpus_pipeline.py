@@ -52,9 +52,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingles with a similarity of 0.8 or more."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of five-word shingles with a similarity of 0.8 or more.
+
+    It is a row of the group's smallest doc_id; where that repeats in the group,
+    the row whose text has the smallest hash. Rows of one doc_id in different
+    groups are different documents. A document with a null doc_id stays if no
+    row with its set of shingles has an id, and once for each such set. Texts
+    without a word stay, once for each doc_id and text.
+    """
+    kept = near_dup.near_duplicates(docs, rows=True).filter("kept").groupBy("group", "doc_id", "row").agg(F.count("*").alias("n"))
+    kept = kept.groupBy("group").agg(F.min(F.struct("doc_id", "row", "n")).alias("k"))
+    kept = staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_row"), F.col("k.n").alias("_n")), "kept")
+    given = whole(docs).select("_docs", F.col("doc_id").cast("long").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_r"))
+    found = given.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")))
+    # only rows that are copies of each other are grouped
+    if not kept.filter("_n > 1").isEmpty():
+        found = found.filter("_n = 1").union(found.filter("_n > 1").dropDuplicates(["_i", "_r"]))
+    return found.select("_docs.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,21 @@ def test_run_is_its_stages(spark, corpus):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids_in_near_dedup(spark):
+    pick = random.Random(3)
+    made = lambda: " ".join(f"w{pick.randrange(10_000)}" for _ in range(60))
+    a, b, c, d, e = (made() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a + " end"), (1, b), (2, b + " end"), (3, c), (3, c)]
+    rows += [(None, d), (None, d), (None, e), (None, c), (4, None), (4, None), (None, ""), (5, d + " x y z " + made())]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, _row string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    firsts = [x for x in found if x in ((1, a), (1, a + " end"))]
+    assert len(firsts) == 1
+    want = [*firsts, (1, b), (3, c), (None, d), (None, e), (4, None), (None, ""), rows[-1]]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    once = spark.createDataFrame([(None, d), (7, e)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, once, "").count() == 2
