@@ -34,7 +34,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
     engine = Engine(spark, args.storage_path)
     engine.set_include_tests(getattr(args, "include_tests", False))
     if args.command == "index":
-        for row in engine.index_repository(args.path).collect():
+        for row in engine.index_repository(args.path).toLocalIterator():
             print(f"{row['path']}: {row['error']}", file=sys.stderr)
         print(f"Indexed {engine.store.read('symbols').count()} symbols.", file=out)
         return 0

@@ -25,14 +25,14 @@ class Engine:
         self.include_tests = include
 
     def index_repository(self, root: str) -> DataFrame:
-        """Indexes all files anew and returns the files that failed, as (path, error)."""
+        """Indexes all files anew and returns the files that failed, as (path, error): the table `errors`, all of it."""
         found = repository.definitions(repository.scan(self.spark, root, self.include_tests)).persist()
         try:
-            errors = self.spark.createDataFrame(found.filter("error is not null").select("path", "error").limit(1000).collect(), "path string, error string")
+            self.store.write("errors", found.filter("error is not null").select("path", "error"))
             self.index(repository.chunks_of(found), repository.symbols_of(found))
         finally:
             found.unpersist()
-        return errors
+        return self.store.read("errors")
 
     def index(self, chunks: DataFrame, symbols: DataFrame) -> None:
         """Writes the tables and, from what is written, postings and embeddings."""

@@ -37,6 +37,7 @@ RESULTS = T.StructType(
 )
 EMBEDDINGS = T.StructType([T.StructField("chunk_id", T.StringType(), False), T.StructField("embedding", T.ArrayType(T.FloatType()), False)])
 POSTINGS = "field string, term string, key string, tf int, dl int"
+ERRORS = "path string, error string"
 QUERIES = "query_id long, query string"
 EMBEDDED = "query_id long, embedding array<float>"
 RESULT_COLUMNS = [f.name for f in RESULTS]

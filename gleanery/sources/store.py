@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CHUNKS, EMBEDDINGS, POSTINGS, SYMBOLS
+from ..schema import CHUNKS, EMBEDDINGS, ERRORS, POSTINGS, SYMBOLS
 
-SCHEMAS = {"chunks": CHUNKS, "symbols": SYMBOLS, "embeddings": EMBEDDINGS, "chunk_postings": POSTINGS, "symbol_postings": POSTINGS}
+SCHEMAS = {"chunks": CHUNKS, "symbols": SYMBOLS, "embeddings": EMBEDDINGS, "chunk_postings": POSTINGS, "symbol_postings": POSTINGS, "errors": ERRORS}
 #: Tables are laid out by what they are looked up with, so that row groups prune.
-SORTED_BY = {"chunks": "file_path", "symbols": "symbol_name", "embeddings": "chunk_id", "chunk_postings": "term", "symbol_postings": "term"}
+SORTED_BY = {"chunks": "file_path", "symbols": "symbol_name", "embeddings": "chunk_id", "chunk_postings": "term", "symbol_postings": "term", "errors": "path"}
 
 
 class Store:

@@ -226,3 +226,16 @@ def test_plans(spark):
     assert plan.count("WindowGroupLimit") >= 2
     filtered = found.filter(~F.contains("file_path", F.lit("vendor")))._jdf.queryExecution().optimizedPlan().toString()
     assert filtered.index("vendor") < filtered.index("Window")
+
+
+def test_all_errors_are_returned(spark, repo, tmp_path, monkeypatch):
+    from gleanery.sources import repository
+
+    rows = spark.range(1500).selectExpr("concat('f', id, '.py') AS path", "'ValueError: x' AS error")
+    made = rows.selectExpr("path", *(f"cast(null AS {c.split()[1]}) AS {c.split()[0]}" for c in repository.DEFINITIONS.split(", ")[1:-1]), "error")
+    monkeypatch.setattr(repository, "definitions", lambda files: made)
+    e = Engine(spark, str(tmp_path / "s"))
+    got = e.index_repository(repo)
+    assert got.columns == ["path", "error"] and got.select("path").distinct().count() == got.count() == 1500
+    e.clear()
+    assert e.store.read("errors").count() == 0
