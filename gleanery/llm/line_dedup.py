@@ -1,21 +1,24 @@
 """Line deduplication by segment-partition edit joins, in DataFrame functions only.
 
-Two lines within k edits share one of k + 1 even segments of the shorter one,
-at about the same place. So each line is cut into k + 1 segments under keys of
-(length, segment number, segment), and looked up with those of its substrings
-that can be such a segment of a line of its own length or up to k shorter. What
-shares a key is verified with a banded bit-parallel edit distance: for each
-number of edits one bit for each diagonal of the band, stepped over the text.
-
-A line goes if a line that is equal or within k edits stands earlier. Keys are
-shuffled as hashes; a line's text moves only if it shares a key. A key is never
-expanded into all pairs of its lines: keys of many lines are narrowed (see
-narrowed() and by_length()), and in each round some of a key's earliest lines
-(eight times as many each round) are compared with later ones not yet decided.
+Two lines within k edits share one of k + 1 segments of the shorter one, at
+about the same place. So each distinct line is cut into k + 1 segments, under
+keys of (length or class of lengths, segment number, segment), and looked up
+with those of its substrings that can be such a segment of a line of its length
+or shorter. What shares a key is verified with a banded bit-parallel edit
+distance: one word holds the vertical differences of a column of the band.
+
+A line goes if a line that is equal or within k edits stands earlier. Equal
+lines are brought together first, so that near lines are sought among distinct
+lines only. Keys are shuffled as hashes of KEY_BITS bits, without the line they
+are of, and counted; those of several lines, one of which holds the key as its
+segment, are then looked up in the lines. A key is never expanded into all
+pairs of its lines: keys of many lines are narrowed (see narrowed() and
+by_length()), and in each round some of a key's earliest lines (eight times as
+many each round) are compared with later ones not yet decided.
 
 How many edits count as near grows with the shorter line, see allowed(). From
 two edits on, lines fall into classes by length and the k + 1 segments have one
-size in a class, so that their keys need no exact length: see wide_probes().
+size in a class, so that their keys need no exact length: see wide_keys().
 """
 
 from __future__ import annotations
@@ -30,11 +33,17 @@ from .common import carried, documents, id_text, salted_left_join, staged
 CHARS_PER_EDIT, MOST_EDITS = 16, 8
 #: Shorter lines (in code points) are left as they are. Lines of less than CHARS_PER_EDIT are near none, so only their copies go.
 MIN_CHARS = 1
+#: Bits of a key; keys that are equal by chance cost a comparison, as lines decide.
+KEY_BITS = 48
 #: Keys of more lines are cut further; windows that keys are cut into, at first and then.
 SMALL, FEW, MANY = 8, 4, 16
-#: Up to so many lines or documents that are wanted are broadcast to the texts; more are joined by a shuffle.
-WANTED_ROWS = 400_000
+#: Up to so many keys, and numbers of removed lines, are broadcast (16 bytes each at most); more are joined by a shuffle.
+WANTED_ROWS = 500_000
+#: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
+STEPS = [1 << i for i in range(15, -1, -1)]
 ID = ["k1", "k2"]
+#: Order of lines: a null doc_id stands behind all others.
+AT = ["unknown", "first", "pos", "k1", "k2"]
 
 
 def line_id(line: Column) -> list[Column]:
@@ -46,40 +55,59 @@ def has_word(line: Column) -> Column:
     return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
 
 
-def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, n): each document's distinct lines that are long enough, and their length."""
-    # the length is a field, so that it is counted once and not wherever it is used
-    lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
-    found = docs.select("doc_id", F.explode(lines).alias("_l")).select("doc_id", "_l.line", "_l.n")
-    return found.filter((F.col("n") >= min_chars) & has_word(F.col("line")))
+def occurrences(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
+    """(doc_id, .., pos, line): all lines that are long enough and have a word."""
+    found = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return found.filter((F.length("line") >= min_chars) & has_word(F.col("line")))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(id, k1, k2, unknown, first, pos, line, size, n): each distinct line, where it stands first, its length and how often it stands."""
+    found = occurrences(docs, min_chars).select(*line_id(F.col("line")), F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("first"), "pos", "line").alias("m"))
+    found = found.groupBy(*ID).agg(F.min("m").alias("m"), F.count("*").alias("n"))
+    return found.select(F.monotonically_increasing_id().alias("id"), *ID, "m.*", F.length("m.line").alias("size"), "n")
+
+
+def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of the i-th (from 0) of edits + 1 even segments; the last ones are longer by one."""
     parts = edits + 1
     short = F.floor(length / parts).cast("int")
-    longer = F.pmod(length, F.lit(parts)).cast("int")
-    before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    own = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-    return (short * i + before + 1).cast("int"), own.cast("int")
+    even = F.lit(parts) - F.pmod(length, F.lit(parts)).cast("int")
+    own = short + F.when(i >= even, 1).otherwise(0)
+    return (short * i + F.greatest(F.lit(0), i - even) + 1).cast("int"), own.cast("int")
+
+
+def hashed(*parts: Column) -> Column:
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def placed(lines: DataFrame, codes: Column) -> DataFrame:
+    """lines with a row for each code, and its three numbers a, i and shift; constant lists, so that keys are made in generated code."""
+    rows = lines.select("id", "line", F.col("size").alias("n"), F.explode(codes).alias("c"))
+    return rows.select("id", "line", "n", F.shiftright("c", 16).alias("a"), F.shiftright("c", 8).bitwiseAND(F.lit(255)).alias("i"), (F.col("c").bitwiseAND(F.lit(255)) - 64).alias("shift"))
+
+
+def coded(places: list[tuple[int, int, int]]) -> Column:
+    return F.array(*(F.lit(a << 16 | i << 8 | shift + 64) for a, i, shift in places))
 
 
-def probes(edits: int) -> Column:
-    """All keys of a line: (key, own: the line itself holds it as a segment, number of the segment, how much shorter the other line is)."""
-    made = []
-    n = F.col("n")
+def even_keys(lines: DataFrame, edits: int, holds: Column) -> DataFrame:
+    """(id, key, own, i, shorter) for lines within a fixed number of edits.
+
+    own: the line itself holds the key as a segment (and `holds` is true);
+    i: number of the segment; shorter: how much shorter the other line is.
+    """
+    places = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
-            start, size = segment(n - shorter, i, edits)
             # what lies to the left may hold up to i edits, what lies to the right edits - i
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                own = shorter == 0 and shift == 0
-                key = F.xxhash64(n - shorter, F.lit(i), F.substring(F.col("line"), at, size))
-                inside = (at >= 1) & (at + size - 1 <= n) & (size >= 1)
-                made.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(i).alias("i"), F.lit(shorter).alias("shorter"))))
-    return F.array_compact(F.array(*made))
+            places += [(shorter, i, shift) for shift in range(low, high + 1)]
+    start, size = segment(F.col("n") - F.col("a"), F.col("i"), edits)
+    at = placed(lines, coded(places)).withColumns({"start": start + F.col("shift"), "width": size})
+    at = at.filter("start >= 1 and start + width - 1 <= n and width >= 1")
+    key = hashed(F.col("n") - F.col("a"), F.col("i"), F.substring(F.col("line"), F.col("start"), F.col("width")))
+    return at.select("id", key.alias("key"), ((F.col("a") == 0) & (F.col("shift") == 0) & holds).alias("own"), "i", F.col("a").alias("shorter"))
 
 
 def allowed(n: Column) -> Column:
@@ -87,8 +115,8 @@ def allowed(n: Column) -> Column:
     return F.least(F.lit(MOST_EDITS), F.floor(n / CHARS_PER_EDIT)).cast("int")
 
 
-def wide_probes() -> Column:
-    """Like probes(), for all lines of two edits or more at once; `shorter` is -1.
+def wide_keys(lines: DataFrame) -> DataFrame:
+    """Like even_keys(), for all lines of two edits or more at once; `shorter` is -1.
 
     A class is of one number k of edits and the least length m of its lines;
     those of MOST_EDITS double m. The k + 1 segments of a class have equal
@@ -99,52 +127,61 @@ def wide_probes() -> Column:
     line may be of the next class, so a line near the lower end of its class is
     looked up in the class below too.
     """
-    n, k = F.col("n"), allowed(F.col("n"))
     top = CHARS_PER_EDIT * MOST_EDITS
+    n = F.col("size")
     doubled = F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(float(top)))))
-    least = F.when(n >= top, (doubled * top).cast("int")).otherwise(k * CHARS_PER_EDIT)
+    least = F.when(n >= top, (doubled * top).cast("int")).otherwise(allowed(n) * CHARS_PER_EDIT)
     below = F.when(least > top, (least / 2).cast("int")).otherwise(least - CHARS_PER_EDIT)
-    own = F.struct(k.alias("k"), least.alias("m"), F.lit(True).alias("own"))
-    under = F.struct(allowed(below).alias("k"), below.alias("m"), F.lit(False).alias("own"))
-    classes = F.when((allowed(below) >= 2) & (n - allowed(below) < least), F.array(own, under)).otherwise(F.array(own))
-
-    def of_class(c: Column) -> Column:
-        size = F.floor(c["m"] / (c["k"] + 1)).cast("int")
-
-        def of_segment(i: Column) -> Column:
-            off = F.least(i, c["k"] - i)
-            left = i * 2 <= c["k"]
-            start = F.when(left, i * size + 1).otherwise(n - (c["k"] + 1 - i) * size + 1)
-
-            def at(shift: Column) -> Column:
-                key = F.when((start + shift >= 1) & (start + shift + size - 1 <= n), F.xxhash64(F.lit(-1), c["m"], i, F.substring(F.col("line"), start + shift, size)))
-                return F.struct(key.alias("key"), (c["own"] & (shift == 0)).alias("own"), i.alias("i"), F.lit(-1).alias("shorter"))
-
-            return F.transform(F.sequence(-off, off), at)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), c["k"]), of_segment))
-
-    return F.filter(F.flatten(F.transform(classes, of_class)), lambda x: x["key"].isNotNull())
-
-
-def all_probes(edits: int | None) -> Column:
-    """The keys of a line for a fixed number of edits, or for what allowed() gives; a line that is near none has one without a key."""
+    classed = lines.select("id", "line", "size", allowed(n).alias("k"), least.cast("int").alias("m"), below.cast("int").alias("mb"))
+    classed = classed.withColumn("kb", allowed(F.col("mb")))
+    classed = classed.withColumn("under", (F.col("kb") >= 2) & (n - F.col("kb") < F.col("m")))
+
+    def places(which: int, k: int) -> list[tuple[int, int, int]]:
+        return [(which, i, shift) for i in range(k + 1) for shift in range(-min(i, k - i), min(i, k - i) + 1)]
+
+    codes = None
+    for k in range(2, MOST_EDITS + 1):
+        for kb in {k - 1, k if k == MOST_EDITS else k - 1}:
+            case = (F.col("k") == k) & F.col("under") & (F.col("kb") == kb)
+            if kb >= 2:
+                both = coded(places(0, k) + places(1, kb))
+                codes = F.when(case, both) if codes is None else codes.when(case, both)
+    for k in range(2, MOST_EDITS + 1):
+        codes = codes.when(F.col("k") == k, coded(places(0, k)))
+    rows = classed.select("id", "line", F.col("size").alias("n"), "k", "m", "mb", "kb", F.explode(codes).alias("c"))
+    own = F.shiftright("c", 16) == 0
+    rows = rows.select("id", "line", "n", own.alias("first_class"), F.when(own, F.col("k")).otherwise(F.col("kb")).alias("k"), F.when(own, F.col("m")).otherwise(F.col("mb")).alias("m"), F.shiftright("c", 8).bitwiseAND(F.lit(255)).alias("i"), (F.col("c").bitwiseAND(F.lit(255)) - 64).alias("shift"))
+    rows = rows.withColumn("width", F.floor(F.col("m") / (F.col("k") + 1)).cast("int"))
+    start = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("width")).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * F.col("width"))
+    rows = rows.withColumn("start", start + 1 + F.col("shift")).filter("start >= 1 and start + width - 1 <= n")
+    key = hashed(F.lit(-1), F.col("m"), F.col("i"), F.substring(F.col("line"), F.col("start"), F.col("width")))
+    return rows.select("id", key.alias("key"), (F.col("first_class") & (F.col("shift") == 0)).alias("own"), "i", F.lit(-1).alias("shorter"))
+
+
+def keyed_lines(lines: DataFrame, edits: int | None) -> DataFrame:
+    """(id, key, own, i, shorter): distinct lines under all their keys, for a fixed number of edits or for what allowed() gives."""
     if edits is not None:
-        return probes(edits)
-    n, two = F.col("n"), 2 * CHARS_PER_EDIT
-    none = F.array(F.struct(F.lit(None).cast("long").alias("key"), F.lit(True).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("shorter")))
+        return even_keys(lines, edits, F.lit(True))
+    two = 2 * CHARS_PER_EDIT
     # the longer line of a pair with one edit may be of the next class; what it holds itself is then found in that
-    over = F.transform(probes(1), lambda x: x.withField("own", F.lit(False)))
-    return F.when(n < CHARS_PER_EDIT, none).when(n < two, probes(1)).when(n == two, F.concat(wide_probes(), over)).otherwise(wide_probes())
+    one = even_keys(lines.filter(F.col("size").between(CHARS_PER_EDIT, two)), 1, F.col("n") < two)
+    return one.unionByName(wide_keys(lines.filter(F.col("size") >= two)))
+
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key) of the keys that stand twice at least, once as a segment; counted before the shuffle and in one number."""
+    own = 1 << 32
+    found = keyed.groupBy("key").agg(F.sum(F.when(F.col("own"), F.lit(own + 1)).otherwise(F.lit(1))).alias("s"))
+    return found.filter((F.col("s") >= own) & (F.col("s") % own >= 2)).select("key")
 
-def worth_a_look(keyed: DataFrame) -> DataFrame:
+
+def worth_a_look(members: DataFrame) -> DataFrame:
     """(key) of the keys of several lines, one of which holds it as a segment."""
-    found = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("own").alias("held"))
+    found = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("own").alias("held"))
     return found.filter("a <> b and held").select("key")
 
 
-def narrowed(members: DataFrame, texts: DataFrame) -> DataFrame:
+def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
     """For one edit: keys of all but a window of a line, in place of keys of half a line.
 
     Lines that share a half agree in all of the rest but one place. So the rest
@@ -155,16 +192,15 @@ def narrowed(members: DataFrame, texts: DataFrame) -> DataFrame:
     within one edit. So no key of many lines is left whose lines are to be
     compared with each other.
     """
-    known = texts.select(*ID, "line")
-    n = F.length("line")
-    _, size = segment(n - F.col("shorter"), 0, 1)
-    _, last = segment(n - F.col("shorter"), 1, 1)
-    size = F.when(F.col("i") == 0, size).otherwise(last)
-    rest = F.when(F.col("i") == 0, F.substring(F.col("line"), size + 1, n)).otherwise(F.substring(F.col("line"), F.lit(1), n - size))
+    known = lines.select("id", "line", F.col("size").alias("n"))
+    _, first = segment(F.col("n") - F.col("shorter"), F.lit(0), 1)
+    _, last = segment(F.col("n") - F.col("shorter"), F.lit(1), 1)
+    size = F.when(F.col("i") == 0, first).otherwise(last)
+    rest = F.when(F.col("i") == 0, F.substring(F.col("line"), size + 1, F.col("n"))).otherwise(F.substring(F.col("line"), F.lit(1), F.col("n") - size))
     current = members.withColumns({"lo": F.lit(0), "hi": F.lit(-1)})
     done, large, parts = None, current, FEW
     while True:
-        cut = large.join(known, ID).withColumns({"_rest": rest, "_r": n - F.col("shorter") - size})
+        cut = large.join(known, "id").withColumns({"_rest": rest, "_r": F.col("n") - F.col("shorter") - size})
         cut = cut.withColumn("hi", F.when(F.col("hi") < 0, F.col("_r")).otherwise(F.col("hi")))
         width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / parts)).cast("int")
         ends = F.sequence(F.col("lo"), F.greatest(F.col("lo"), F.col("hi") - 1), width)
@@ -172,20 +208,20 @@ def narrowed(members: DataFrame, texts: DataFrame) -> DataFrame:
         behind = F.col("_r") - F.col("hi")
         before = F.substring(F.col("_rest"), F.lit(1), F.col("lo"))
         after = F.substring(F.col("_rest"), F.length("_rest") - behind + 1, behind)
-        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), *ID, "own", "i", "shorter", "at", "lo", "hi")
+        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), "id", "own", "i", "shorter", "at", "lo", "hi")
         cut = staged(cut, "cut")
-        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", *ID, "i", "shorter", "at", "lo", "hi").agg(F.max("own").alias("own"))
+        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", "id", "i", "shorter", "at", "lo", "hi").agg(F.max("own").alias("own"))
         cut = staged(cut, "cut")
         heavy = cut.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("w")).filter((F.col("n") > SMALL) & (F.col("w") > 1))
         heavy = staged(heavy.select("key"), "heavy")
-        small = cut.join(heavy, "key", "left_anti").select("key", *ID, "own", "at")
+        small = cut.join(heavy, "key", "left_anti").select("key", "id", "own", "at")
         done = small if done is None else done.union(small)
         if heavy.isEmpty():
             return staged(done, "narrowed")
         large, parts = cut.join(heavy, "key", "left_semi"), MANY
 
 
-def by_length(members: DataFrame, texts: DataFrame) -> DataFrame:
+def by_length(members: DataFrame, lines: DataFrame) -> DataFrame:
     """For more edits: keys of many lines, cut by the lines' length.
 
     Near lines' lengths differ by MOST_EDITS at most. So a line goes on under
@@ -193,59 +229,86 @@ def by_length(members: DataFrame, texts: DataFrame) -> DataFrame:
     before and behind, as one that only looks up the lines there.
     """
     heavy = staged(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "heavy")
-    small = members.join(heavy, "key", "left_anti").select("key", *ID, "own", "at")
-    step = F.floor(F.length("line") / MOST_EDITS)
-    cut = members.join(heavy, "key", "left_semi").join(texts.select(*ID, step.alias("_step")), ID)
+    small = members.join(heavy, "key", "left_anti").select("key", "id", "own", "at")
+    if heavy.isEmpty():
+        return small
+    step = F.floor(F.col("size") / MOST_EDITS)
+    cut = members.join(heavy, "key", "left_semi").join(lines.select("id", step.alias("_step")), "id")
     cut = cut.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), *ID, (F.col("own") & (F.col("_by") == 0)).alias("own"), "at")
+    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at")
     cut = staged(cut, "cut")
     return staged(small.union(cut.join(worth_a_look(cut), "key", "left_semi")), "narrowed")
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines are within `edits` edits, by bits for the diagonals of the band; b must not be empty.
+def once(value: Column) -> Column:
+    """The value as a column of a row of its own, so that it is computed once and not wherever it is used."""
+    return F.explode(F.array(value))
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """Length of what both lines begin with, up to the sum of STEPS."""
+    most = F.least(F.length(a), F.length(b))
+    longer = lambda p, s: F.when((p + s <= most) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s)), p + s).otherwise(p)
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer)
 
-    Bit d + edits of the e-th group says that the first j characters of b and
-    the first j + d of a are within e edits. A step matches along a diagonal,
-    or adds an edit to stay on it, come from the next one, or go to it.
+
+def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """pairs with `_distance` of the lines a and b, null where it is more than `edits` (31 at most).
+
+    What both lines begin and end with is left out. Of the rest, a column of the
+    band of 2 * edits + 1 diagonals stands for one character of b: bit d says
+    whether the value goes up (vp) or down (vn) from row to row. A column
+    follows from the one before in a few operations on whole words, and the
+    value in the band's last row is kept up to date. Rows before a's start rise
+    with the column, rows behind its end match nothing.
     """
     width = 2 * edits + 1
-    full = (1 << width) - 1
     long = lambda n: F.lit(n).cast("long")
-    start = sum(((sum(1 << d + edits for d in range(e + 1))) & full) << (width * e) for e in range(edits + 1))
-
-    def equal(x: Column, c: Column, i: Column) -> Column:
-        """The bits of the diagonals on which b's character equals a's."""
-        found = long(0)
-        for d in range(-edits, edits + 1):
-            found = found.bitwiseOR(F.when(F.get(x["a"], i + d) == c, long(1 << d + edits)).otherwise(long(0)))
+    full, last = long((1 << width) - 1), 1 << width - 1
+
+    near = pairs.filter(F.abs(F.length(a) - F.length(b)) <= edits)
+    near = near.select("*", once(common_start(F.col(a), F.col(b))).alias("_p"))
+    near = near.select("*", once(F.struct(*(F.expr(f"substring({x}, _p + 1)").alias(y) for x, y in ((a, "a"), (b, "b"))))).alias("_s"))
+    near = near.select("*", once(common_start(F.reverse("_s.a"), F.reverse("_s.b"))).alias("_q"))
+    rest = lambda y: F.expr(f"if(length(_s.{y}) > _q, split(substring(_s.{y}, 1, length(_s.{y}) - _q), ''), cast(array() as array<string>))").alias(y)
+    near = near.select("*", once(F.struct(rest("a"), rest("b"))).alias("_r"))
+
+    def equal(c: Column, j: Column) -> Column:
+        """The bits of the rows j - edits .. j + edits whose character of a is c; both count from 0."""
+        found = None
+        for d in range(width):
+            bit = F.when(F.get("_r.a", j + (d - edits)) == c, long(1 << d)).otherwise(long(0))
+            found = bit if found is None else found.bitwiseOR(bit)
         return found
 
-    def step(state: Column, same: Column) -> Column:
-        out, last, before = None, None, None
-        for e in range(edits + 1):
-            group = F.shiftright(state, width * e).bitwiseAND(long(full))
-            now = group.bitwiseAND(same)
-            if e:
-                now = now.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(last, 1)).bitwiseAND(long(full))
-            last, before = now, group
-            out = now if out is None else out.bitwiseOR(F.shiftleft(now, width * e))
-        return out
-
-    def close(x: Column) -> Column:
-        end = F.aggregate(F.transform(x["b"], lambda c, i: equal(x, c, i)), long(start), step)
-        diagonal = F.size(x["a"]) - F.size(x["b"])
-        bit = F.call_function("shiftright", end, (diagonal + edits + width * edits).cast("int"))
-        return F.when(F.abs(diagonal) > edits, False).otherwise(bit.bitwiseAND(long(1)) == 1)
-
-    # one element, so that the lines are split once and not wherever they are used
-    both = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
-    return F.get(F.transform(both, close), F.lit(0))
+    def step(state: Column, x: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full)
+        # one element, so that it is computed once
+        return F.get(F.transform(F.array(d0), lambda d: column(d, vp, vn, state["v"])), F.lit(0))
+
+    def column(d0: Column, vp: Column, vn: Column, value: Column) -> Column:
+        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(full)
+        up = F.shiftright(d0, 1)
+        return F.struct(
+            d0.bitwiseAND(vp).bitwiseOR(F.bitwise_not(up.bitwiseOR(hp))).bitwiseAND(full).alias("vp"),
+            up.bitwiseAND(hp).alias("vn"),
+            (value + F.when(d0.bitwiseAND(long(last)) == 0, long(1)).otherwise(long(0))).alias("v"),
+        )
+
+    start = F.struct(long((1 << width) - (1 << edits)).alias("vp"), long(0).alias("vn"), long(edits).alias("v"))
+    end = F.aggregate(F.transform("_r.b", equal), start, step)
+    near = near.select("*", once(end).alias("_e"))
+    # from the band's last row up to a's last one
+    low = F.size("_r.a") - F.size("_r.b") + edits
+    mask = F.expr(f"{last - 1}L & ~(shiftleft(1L, {edits} + size(_r.a) - size(_r.b)) - 1L)")
+    value = F.col("_e.v") - F.bit_count(F.col("_e.vp").bitwiseAND(mask)) + F.bit_count(F.col("_e.vn").bitwiseAND(mask))
+    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_p", "_s", "_q", "_r", "_e")
 
 
 def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """Keeps the pairs whose lines are within `edits` edits; the second must not be empty."""
-    return pairs.filter((F.abs(F.length(a) - F.length(b)) <= edits) & within(F.col(a), F.col(b), edits))
+    """Keeps the pairs whose lines are within `edits` edits."""
+    return distances(pairs, a, b, edits).filter("_distance is not null").drop("_distance")
 
 
 def near_pairs(pairs: DataFrame, a: str, b: str, edits: int | None) -> DataFrame:
@@ -253,46 +316,42 @@ def near_pairs(pairs: DataFrame, a: str, b: str, edits: int | None) -> DataFrame
     if edits is not None:
         return bit_parallel(pairs, a, b, edits)
     most = allowed(F.least(F.length(a), F.length(b)))
-    apart = F.levenshtein(F.col(a), F.col(b), MOST_EDITS)
-    return pairs.filter((F.abs(F.length(a) - F.length(b)) <= most) & apart.between(F.lit(0), most))
-
-
-def keyed_lines(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
-    """(doc_id, k1, k2, key, own, i, shorter): every document's distinct lines under all their keys."""
-    return doc_lines(docs, min_chars).select("doc_id", *line_id(F.col("line")), F.explode(all_probes(edits)).alias("p")).select("doc_id", "k1", "k2", "p.*")
+    some = pairs.filter(F.abs(F.length(a) - F.length(b)) <= most)
+    return distances(some, a, b, MOST_EDITS).filter(F.col("_distance") <= most).drop("_distance")
 
 
-def near_earlier(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
-    """(k1, k2) of the lines with an unequal line near them that stands earlier (first document, then id)."""
-    none = docs.sparkSession.createDataFrame([], "k1 long, k2 long")
-    keyed = keyed.filter("key is not null")
-    members = keyed.join(worth_a_look(keyed), "key", "left_semi").groupBy("key", *ID, "i", "shorter").agg(F.max("own").alias("own"))
-    members = staged(members.join(firsts, ID).withColumn("at", F.struct("first", "k1", "k2")).drop("first"), "members")
+def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
+    """(id) of the lines with an unequal line near them that stands earlier."""
+    none = lines.sparkSession.createDataFrame([], "id long")
+    keyed = keyed_lines(lines, edits)
+    shared = staged(shared_keys(keyed), "shared")
+    members = staged(keyed.join(broadcast_if_small(shared, WANTED_ROWS), "key", "left_semi"), "members")
     if members.isEmpty():
         return none
-    texts = doc_lines(docs, min_chars).select(*line_id(F.col("line")), "line").join(broadcast_if_small(members.select(*ID).distinct(), WANTED_ROWS), ID, "left_semi")
-    texts = staged(texts.groupBy(*ID, "line").agg(F.lit(1).alias("_one")).drop("_one"), "lines")
+    members = staged(members.join(lines.select("id", F.struct(*AT).alias("at")), "id"), "members")
     if edits is None:
         one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
-        members = narrowed(one, texts).union(by_length(more, texts))
+        members = by_length(more, lines)
+        if not one.isEmpty():
+            members = narrowed(one, lines).union(members)
     else:
-        members = narrowed(members, texts) if edits == 1 else members.select("key", *ID, "own", "at")
+        members = narrowed(members, lines) if edits == 1 else members.select("key", "id", "own", "at")
 
     gone, done, each = none, 0, 1
     while True:
         # members of a key in order; the earliest `each` of those behind the pointer lead
-        open_lines = members.join(gone, ID, "left_anti")
+        open_lines = members.join(gone, "id", "left_anti")
         last = open_lines.groupBy("key").agg(F.max("at").alias("last"))
         ranked = members.join(last, "key").filter("at < last")
         order = F.row_number().over(Window.partitionBy("key").orderBy("at"))
         leaders = ranked.withColumn("_n", order).filter((F.col("_n") > done) & (F.col("_n") <= done + each))
-        leaders = staged(leaders.select("key", F.col("at").alias("lead"), F.col("own").alias("_own")), "leaders")
+        leaders = staged(leaders.select("key", F.col("id").alias("lead"), F.col("at").alias("_at"), F.col("own").alias("_own")), "leaders")
         if leaders.isEmpty():
             return gone
-        met = open_lines.join(leaders, "key").filter("at > lead and (own or _own)")
-        met = met.select(*ID, F.col("lead.k1").alias("l1"), F.col("lead.k2").alias("l2")).distinct()
-        both = met.join(texts, ID).join(texts.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("line").alias("other")), ["l1", "l2"])
-        found = near_pairs(both, "line", "other", edits).select(*ID).distinct()
+        met = open_lines.join(leaders, "key").filter("at > _at and (own or _own)").select("id", "lead").distinct()
+        met = staged(met, "met")
+        both = met.join(lines.select("id", "line"), "id").join(lines.select(F.col("id").alias("lead"), F.col("line").alias("other")), "lead")
+        found = near_pairs(both, "line", "other", edits).select("id").distinct()
         gone = staged(gone.union(found).distinct(), "gone")
         done, each = done + each, each * SMALL
 
@@ -302,35 +361,34 @@ def duplicate_lines(docs: DataFrame, edits: int | None = None, min_chars: int =
 
     A line of at least min_chars code points with a word goes if an equal line
     stands earlier in its document or in a document with a smaller doc_id
-    (exact), or if a line within `edits` edits does (near; between lines of the
-    same first document, the smaller id counts as earlier). Without `edits`,
+    (exact), or if a line within `edits` edits does (near; the places where the
+    two stand first decide which is earlier: doc_id, then the line's number,
+    then its hash where both stand at one number of rows with one doc_id).
+    Without `edits`,
     the shorter of two lines gives their number: one for each CHARS_PER_EDIT
     characters, up to MOST_EDITS. removed holds the numbers of these lines,
     from 0, in order. Shorter lines stay.
 
     A null or empty text has one empty line, which stays. Rows that repeat a
     doc_id count as one document: a line of theirs is removed from neither row
-    for the other's sake. Other columns are ignored. An empty table gives no
-    rows.
+    for the other's sake. Rows with a null doc_id count as one document that
+    stands behind all others. Other columns are ignored. An empty table gives
+    no rows.
     """
     base = id_text(docs)
-    keyed = staged(keyed_lines(base, edits, min_chars), "keyed")
-    # a line holds just one key as its first segment
-    narrow = keyed.filter("own and i = 0")
-    firsts = staged(narrow.groupBy(*ID).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "first-lines")
-    near = near_earlier(base, keyed, firsts.select(*ID, "first"), edits, min_chars).withColumn("near", F.lit(True))
+    lines = staged(distinct_lines(base, min_chars), "lines")
+    near = near_earlier(lines, edits).withColumn("near", F.lit(True))
     # decisions on lines that are not simply kept
-    decided = firsts.join(near, ID, "left").filter("n_docs > 1 or near").select(*ID, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    decided = staged(decided, "decided")
+    decided = lines.select("id", *ID, "unknown", "first", "n").join(near, "id", "left").filter("n > 1 or near")
+    decided = staged(decided.select(*ID, "unknown", "first", F.coalesce("near", F.lit(False)).alias("near")), "decided")
 
-    lines = F.split("text", "\n")
-    every = base.select("doc_id", F.xxhash64("text").alias("_row"), F.posexplode(lines).alias("pos", "line"))
-    every = every.filter((F.length("line") >= min_chars) & has_word(F.col("line"))).select("doc_id", "_row", "pos", *line_id(F.col("line")))
+    every = occurrences(base, min_chars, F.xxhash64("text").alias("_row")).select("doc_id", "_row", "pos", *line_id(F.col("line")))
+    judged = salted_left_join(every, decided.withColumn("_known", F.lit(True)), ID, F.col("doc_id")).filter("_known")
     # one row for each line of a document, so that a line repeated in it comes once
-    grouped = every.groupBy("doc_id", "_row", *ID).agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    judged = salted_left_join(grouped, decided, ID, F.col("doc_id"))
+    judged = judged.groupBy("doc_id", "_row", *ID, "unknown", "first", "near").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     again = F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))
-    exact = F.when(F.col("first") < F.col("doc_id"), F.col("at")).otherwise(again)
+    earlier = (F.col("first") < F.col("doc_id")) | (F.col("doc_id").isNull() & ~F.col("unknown"))
+    exact = F.when(earlier, F.col("at")).otherwise(again)
     judged = judged.select("doc_id", "_row", exact.alias("exact"), F.when(F.col("near"), F.col("at")).otherwise(exact).alias("gone"))
     judged = judged.filter(F.size("gone") > 0).groupBy("doc_id", "_row")
     return judged.agg(
@@ -347,14 +405,17 @@ def deduplicate(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_
     are. The four columns take the place of columns of docs with their names.
     """
     flags = duplicate_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), edits, min_chars)
-    flags = staged(flags.withColumnRenamed("doc_id", "_id"), "flags")
+    flags = staged(flags.select(F.col("doc_id").alias("_id"), "_row", "n_exact", "n_near", "removed"), "flags")
+    size = flags.agg(F.sum(F.size("removed") + F.lit(4))).first()[0] or 0
     own = ["removed", "n_exact", "n_near", "cleaned"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.select(*carried(docs, True, own), F.col(id_col).cast("long").alias("_id"), text.alias("_text")).withColumn("_row", F.xxhash64("_text"))
-    lines = F.split("_text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return given.join(broadcast_if_small(flags, WANTED_ROWS), ["_id", "_row"], "left").select(
+    given = docs.select(*carried(docs, True, own), F.col(id_col).cast("long").alias("_i"), text.alias("_text")).withColumn("_r", F.xxhash64("_text"))
+    flags = F.broadcast(flags) if size <= WANTED_ROWS else flags
+    joined = given.join(flags, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")), "left")
+    joined = joined.select("*", once(F.when(F.col("removed").isNotNull(), F.split("_text", "\n"))).alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
+    left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    return joined.select(
         "_given.*",
         "removed",
         F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
@@ -364,6 +425,8 @@ def deduplicate(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_
 
 
 def op6_line_dedup(spark, sf_dir):
+    """(doc_id, n_lines, n_exact, n_near, cleaned_sha256) of every row of documents; see duplicate_lines() for odd input."""
     found = deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return found.select("doc_id", lines.cast("long").alias("n_lines"), F.col("n_exact").cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"), F.sha2("cleaned", 256).alias("cleaned_sha256"))
