@@ -39,6 +39,10 @@ KEY_BITS = 48
 SMALL, FEW, MANY = 8, 4, 16
 #: Up to so many keys, and numbers of removed lines, are broadcast (16 bytes each at most); more are joined by a shuffle.
 WANTED_ROWS = 500_000
+#: Classes of the lines of MOST_EDITS that one doubling of the length is cut into.
+STEPS_A_DOUBLING = 3
+#: Letters that are counted in a line, in BITS_A_LETTER bits each; an edit changes two of the counts by one at most.
+LETTERS, BITS_A_LETTER = "etaoin", 10
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
 STEPS = [1 << i for i in range(15, -1, -1)]
 ID = ["k1", "k2"]
@@ -119,7 +123,7 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     """Like even_keys(), for all lines of two edits or more at once; `shorter` is -1.
 
     A class is of one number k of edits and the least length m of its lines;
-    those of MOST_EDITS double m. The k + 1 segments of a class have equal
+    those of MOST_EDITS have STEPS_A_DOUBLING values of m for each doubling. The k + 1 segments of a class have equal
     sizes: the first half is counted from the line's start, the others from its
     end. Of the segments of the shorter line there is one, the i-th, that is
     intact with i edits at most before it and k - i behind it, so its place in
@@ -129,9 +133,14 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     """
     top = CHARS_PER_EDIT * MOST_EDITS
     n = F.col("size")
-    doubled = F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(float(top)))))
-    least = F.when(n >= top, (doubled * top).cast("int")).otherwise(allowed(n) * CHARS_PER_EDIT)
-    below = F.when(least > top, (least / 2).cast("int")).otherwise(least - CHARS_PER_EDIT)
+    bound = lambda step: F.floor(F.pow(F.lit(2.0), step / STEPS_A_DOUBLING) * top).cast("int")
+    # the floor of a logarithm may be one off, so the bounds decide
+    guess = F.floor(F.log2(n / F.lit(float(top))) * STEPS_A_DOUBLING)
+    lines = lines.select("id", "line", "size", guess.alias("_g"))
+    step = F.when(n >= bound(F.col("_g") + 1), F.col("_g") + 1).when(n < bound(F.col("_g")), F.col("_g") - 1).otherwise(F.col("_g"))
+    lines = lines.select("id", "line", "size", step.alias("_g"))
+    least = F.when(n >= top, bound(F.col("_g"))).otherwise(allowed(n) * CHARS_PER_EDIT)
+    below = F.when((n >= top) & (F.col("_g") > 0), bound(F.col("_g") - 1)).otherwise(least - CHARS_PER_EDIT)
     classed = lines.select("id", "line", "size", allowed(n).alias("k"), least.cast("int").alias("m"), below.cast("int").alias("mb"))
     classed = classed.withColumn("kb", allowed(F.col("mb")))
     classed = classed.withColumn("under", (F.col("kb") >= 2) & (n - F.col("kb") < F.col("m")))
@@ -181,6 +190,24 @@ def worth_a_look(members: DataFrame) -> DataFrame:
     return found.filter("a <> b and held").select("key")
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS is in the line, in one number."""
+    most, found = (1 << BITS_A_LETTER) - 1, None
+    for i, x in enumerate(LETTERS):
+        n = F.least(F.lit(most), F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))))
+        n = F.shiftleft(n.cast("long"), BITS_A_LETTER * i)
+        found = n if found is None else found.bitwiseOR(n)
+    return found
+
+
+def may_be_near(edits: int | None) -> str:
+    """Condition on lengths and counts of letters that lines within `edits` edits fulfil."""
+    most = str(edits) if edits is not None else f"least({MOST_EDITS}, floor(least(size, _size) / {CHARS_PER_EDIT}))"
+    mask = (1 << BITS_A_LETTER) - 1
+    off = " + ".join(f"abs((shiftright(letters, {BITS_A_LETTER * i}) & {mask}L) - (shiftright(_letters, {BITS_A_LETTER * i}) & {mask}L))" for i in range(len(LETTERS)))
+    return f"abs(size - _size) <= {most} and {off} <= 2 * {most} - abs(size - _size)"
+
+
 def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
     """For one edit: keys of all but a window of a line, in place of keys of half a line.
 
@@ -193,6 +220,7 @@ def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
     compared with each other.
     """
     known = lines.select("id", "line", F.col("size").alias("n"))
+    carry = ["id", "own", "at", "size", "letters"]
     _, first = segment(F.col("n") - F.col("shorter"), F.lit(0), 1)
     _, last = segment(F.col("n") - F.col("shorter"), F.lit(1), 1)
     size = F.when(F.col("i") == 0, first).otherwise(last)
@@ -208,20 +236,20 @@ def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
         behind = F.col("_r") - F.col("hi")
         before = F.substring(F.col("_rest"), F.lit(1), F.col("lo"))
         after = F.substring(F.col("_rest"), F.length("_rest") - behind + 1, behind)
-        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), "id", "own", "i", "shorter", "at", "lo", "hi")
+        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), *carry, "i", "shorter", "lo", "hi")
         cut = staged(cut, "cut")
-        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", "id", "i", "shorter", "at", "lo", "hi").agg(F.max("own").alias("own"))
+        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", "id", "at", "size", "letters", "i", "shorter", "lo", "hi").agg(F.max("own").alias("own"))
         cut = staged(cut, "cut")
         heavy = cut.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("w")).filter((F.col("n") > SMALL) & (F.col("w") > 1))
         heavy = staged(heavy.select("key"), "heavy")
-        small = cut.join(heavy, "key", "left_anti").select("key", "id", "own", "at")
+        small = cut.join(heavy, "key", "left_anti").select("key", *carry)
         done = small if done is None else done.union(small)
         if heavy.isEmpty():
             return staged(done, "narrowed")
         large, parts = cut.join(heavy, "key", "left_semi"), MANY
 
 
-def by_length(members: DataFrame, lines: DataFrame) -> DataFrame:
+def by_length(members: DataFrame) -> DataFrame:
     """For more edits: keys of many lines, cut by the lines' length.
 
     Near lines' lengths differ by MOST_EDITS at most. So a line goes on under
@@ -229,13 +257,14 @@ def by_length(members: DataFrame, lines: DataFrame) -> DataFrame:
     before and behind, as one that only looks up the lines there.
     """
     heavy = staged(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "heavy")
-    small = members.join(heavy, "key", "left_anti").select("key", "id", "own", "at")
+    carry = ["id", "own", "at", "size", "letters"]
+    small = members.join(heavy, "key", "left_anti").select("key", *carry)
     if heavy.isEmpty():
         return small
     step = F.floor(F.col("size") / MOST_EDITS)
-    cut = members.join(heavy, "key", "left_semi").join(lines.select("id", step.alias("_step")), "id")
+    cut = members.join(heavy, "key", "left_semi").withColumn("_step", step)
     cut = cut.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at")
+    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at", "size", "letters")
     cut = staged(cut, "cut")
     return staged(small.union(cut.join(worth_a_look(cut), "key", "left_semi")), "narrowed")
 
@@ -328,14 +357,14 @@ def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
     members = staged(keyed.join(broadcast_if_small(shared, WANTED_ROWS), "key", "left_semi"), "members")
     if members.isEmpty():
         return none
-    members = staged(members.join(lines.select("id", F.struct(*AT).alias("at")), "id"), "members")
+    members = staged(members.join(lines.select("id", F.struct(*AT).alias("at"), "size", letter_counts(F.col("line")).alias("letters")), "id"), "members")
     if edits is None:
         one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
-        members = by_length(more, lines)
+        members = by_length(more)
         if not one.isEmpty():
             members = narrowed(one, lines).union(members)
     else:
-        members = narrowed(members, lines) if edits == 1 else members.select("key", "id", "own", "at")
+        members = narrowed(members, lines) if edits == 1 else members.select("key", "id", "own", "at", "size", "letters")
 
     gone, done, each = none, 0, 1
     while True:
@@ -345,10 +374,10 @@ def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
         ranked = members.join(last, "key").filter("at < last")
         order = F.row_number().over(Window.partitionBy("key").orderBy("at"))
         leaders = ranked.withColumn("_n", order).filter((F.col("_n") > done) & (F.col("_n") <= done + each))
-        leaders = staged(leaders.select("key", F.col("id").alias("lead"), F.col("at").alias("_at"), F.col("own").alias("_own")), "leaders")
+        leaders = staged(leaders.select("key", F.col("id").alias("lead"), F.col("at").alias("_at"), F.col("own").alias("_own"), F.col("size").alias("_size"), F.col("letters").alias("_letters")), "leaders")
         if leaders.isEmpty():
             return gone
-        met = open_lines.join(leaders, "key").filter("at > _at and (own or _own)").select("id", "lead").distinct()
+        met = open_lines.join(leaders, "key").filter(f"at > _at and (own or _own) and {may_be_near(edits)}").select("id", "lead").distinct()
         met = staged(met, "met")
         both = met.join(lines.select("id", "line"), "id").join(lines.select(F.col("id").alias("lead"), F.col("line").alias("other")), "lead")
         found = near_pairs(both, "line", "other", edits).select("id").distinct()
