@@ -41,8 +41,8 @@ SMALL, FEW, MANY = 8, 4, 16
 WANTED_ROWS = 500_000
 #: Classes of the lines of MOST_EDITS that one doubling of the length is cut into.
 STEPS_A_DOUBLING = 3
-#: Letters that are counted in a line, in BITS_A_LETTER bits each; an edit changes two of the counts by one at most.
-LETTERS, BITS_A_LETTER = "etaoin", 10
+#: Letters that are counted in a line, six in a number; an edit changes two of the counts by one at most.
+LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp"], 10
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
 STEPS = [1 << i for i in range(15, -1, -1)]
 ID = ["k1", "k2"]
@@ -191,20 +191,23 @@ def worth_a_look(members: DataFrame) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS is in the line, in one number."""
-    most, found = (1 << BITS_A_LETTER) - 1, None
-    for i, x in enumerate(LETTERS):
-        n = F.least(F.lit(most), F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))))
-        n = F.shiftleft(n.cast("long"), BITS_A_LETTER * i)
-        found = n if found is None else found.bitwiseOR(n)
-    return found
+    """How often each of LETTERS is in the line, in one number for each group of them."""
+    most, groups = (1 << BITS_A_LETTER) - 1, []
+    for group in LETTERS:
+        found = F.lit(0).cast("long")
+        for i, x in enumerate(group):
+            n = F.least(F.lit(most), F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))))
+            found = found.bitwiseOR(F.shiftleft(n.cast("long"), BITS_A_LETTER * i))
+        groups.append(found.alias(f"g{len(groups)}"))
+    return F.struct(*groups)
 
 
 def may_be_near(edits: int | None) -> str:
     """Condition on lengths and counts of letters that lines within `edits` edits fulfil."""
     most = str(edits) if edits is not None else f"least({MOST_EDITS}, floor(least(size, _size) / {CHARS_PER_EDIT}))"
     mask = (1 << BITS_A_LETTER) - 1
-    off = " + ".join(f"abs((shiftright(letters, {BITS_A_LETTER * i}) & {mask}L) - (shiftright(_letters, {BITS_A_LETTER * i}) & {mask}L))" for i in range(len(LETTERS)))
+    count = lambda side, g, i: f"(shiftright({side}.g{g}, {BITS_A_LETTER * i}) & {mask}L)"
+    off = " + ".join(f"abs({count('letters', g, i)} - {count('_letters', g, i)})" for g, group in enumerate(LETTERS) for i in range(len(group)))
     return f"abs(size - _size) <= {most} and {off} <= 2 * {most} - abs(size - _size)"
 
 
