@@ -22,12 +22,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: A sentence's end: a CJK stop anywhere, or a stop (and closing quotes) before white space or the line's end.
 SENTENCE = f"[。！？]|[.!?…؟।۔][\"”’»')\\]]*(?:{_WS}|$)"
-#: Items of a menu with marks between them.
-SEPARATOR = f"{_WS}[|»›·•>/]{_WS}"
+#: A mark between items of a menu.
+SEPARATOR = f"{_WS}[|»›·•>/](?:{_WS}|$)"
 MENU = "(?i)^(?:home|menu|log ?in|sign (?:in|up)|skip to|next|previous|back to|read more|click here|share)(?:[^A-Za-z]|$)"
 BOILERPLATE = "(?i)lorem ipsum|javascript|cookie|terms of (?:use|service)|privacy policy|all rights reserved|powered by|subscribe to our"
 #: In a line of up to so many words, the navigation and the boilerplate rules hold.
 MENU_WORDS, BOILERPLATE_WORDS = 30, 60
+#: A menu has so many separators, or one for each so many words.
+MENU_MARKS, MENU_ITEM_WORDS = 2, 5
+#: So many symbols are noise, if they are beyond SYMBOL_PERCENT too.
+LEAST_SYMBOLS = 2
 #: Per cent: of symbols to a line's words, of words in repeated windows, and of words removed, beyond which it fails.
 SYMBOL_PERCENT, REPEAT_PERCENT, LOSS_PERCENT = 10, 50, 50
 LEAST_WORDS = 50
@@ -58,11 +62,13 @@ def failed_rule(line: str, data: bytes, n_words: int, seen: bool) -> str:
     """The first rule that a line with words fails, or nothing."""
     if not _sentence.search(line):
         return "punctuation"
+    if n_words <= MENU_WORDS:
+        marks = len(_separator.findall(line))
+        if marks >= MENU_MARKS or marks and marks * MENU_ITEM_WORDS >= n_words or _menu.search(line):
+            return "navigation"
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    if 100 * symbols > SYMBOL_PERCENT * n_words:
+    if symbols >= LEAST_SYMBOLS and 100 * symbols > SYMBOL_PERCENT * n_words:
         return "punctuation"
-    if n_words <= MENU_WORDS and (_menu.search(line) or len(_separator.findall(line)) >= 2):
-        return "navigation"
     if seen or n_words <= BOILERPLATE_WORDS and _boilerplate.search(line):
         return "boilerplate"
     return ""
@@ -154,10 +160,11 @@ hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY do
 rep AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM hits) GROUP BY doc_id),
 l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
 l1 AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+  length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, len(regexp_extract_all(line, '{SEPARATOR}')) AS marks,
   row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS seen FROM l0),
 l2 AS (SELECT *, NOT regexp_matches(line, '{_SQL_SENTENCE}')
-  OR 100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > {SYMBOL_PERCENT} * n
-  OR (n <= {MENU_WORDS} AND (regexp_matches(line, '{MENU}') OR len(regexp_extract_all(line, '{SEPARATOR}')) >= 2))
+  OR (symbols >= {LEAST_SYMBOLS} AND 100 * symbols > {SYMBOL_PERCENT} * n)
+  OR (n <= {MENU_WORDS} AND (regexp_matches(line, '{MENU}') OR marks >= {MENU_MARKS} OR (marks > 0 AND marks * {MENU_ITEM_WORDS} >= n)))
   OR seen OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}')) AS failed FROM l1 WHERE n > 0),
 lines AS (SELECT doc_id, count(*) FILTER (seen)::BIGINT AS dup, count(*) FILTER (failed)::BIGINT AS removed,
   coalesce(sum(n) FILTER (failed), 0)::BIGINT AS lost FROM l2 GROUP BY doc_id),

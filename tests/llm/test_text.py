@@ -30,6 +30,8 @@ def test_line_rules():
     assert rule("A sentence of prose.") == rule("「これは文です。") == rule('He said: "yes."') == ""
     assert rule("A heading") == rule("many% of& these* signs$ here.") == "punctuation"
     assert rule("Home | About | Contact. | Imprint.") == rule("Skip to the content.") == "navigation"
+    assert rule("Home > News > World. Today.") == rule("Home | About.") == rule("Imprint. |") == "navigation"
+    assert rule("C# is a language.") == rule("Up by 5% in the year.") == rule("One | sign in a line of many words is no menu.") == ""
     assert rule("We use cookies to improve the site.") == rule("Said before.", True) == "boilerplate"
 
 
