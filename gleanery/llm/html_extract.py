@@ -2,7 +2,8 @@
 
 The nodes are a page's block elements and the runs of text in them; each is
 content or not. A node's potential comes from its own features (tag, class and
-id words, text length, share of links, sentence ends), an edge's from how often
+id words, text length, share of links, sentence ends; of a text run also the
+tags and words around it), an edge's from how often
 parent and child agree. Sum-product messages, upward and then downward, give
 every node's marginal exactly, as the graph is a tree; text runs with a
 marginal over one half are the main text. Both kinds of potentials are trained
@@ -25,6 +26,8 @@ from .common import arrow_bounds
 from .html_pages import labelled_pages
 
 TRAINING_PAGES = 1000
+#: Most features that a text run has of the elements around its parent.
+ABOVE = 24
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
@@ -157,8 +160,24 @@ def name_words(name: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys("name=" + w.lower() for w in PART.findall(name)))
 
 
+def above(tree: Tree) -> list[tuple[str, ...]]:
+    """Tags and name words of the elements around each node but its parent, the nearest first, ABOVE at most."""
+    found: list[tuple[str, ...]] = []
+    for i, p in enumerate(tree.parents):
+        if i == 0 or p == 0:
+            found.append(())
+            continue
+        # what is around the parent, and the parent's own parent
+        g = tree.parents[p]
+        own = ("above " + tree.tags[g], *("above " + w for w in name_words(tree.names[g])))
+        before = found[p]
+        found.append(before if all(w in before for w in own) else tuple(dict.fromkeys(own + before))[:ABOVE])
+    return found
+
+
 def features(tree: Tree) -> list[list[str]]:
     length, linked, ends = tree.sums()
+    around = above(tree)
     found = []
     for i, tag in enumerate(tree.tags):
         n = length[i]
@@ -166,6 +185,7 @@ def features(tree: Tree) -> list[list[str]]:
         if tag == "#":
             own = ["run", f"run in {tree.tags[tree.parents[i]]}", f"run of {n.bit_length()}", f"run links {share}", "run sentence" if ends[i] else "run no sentence"]
             own += ["in " + w for w in name_words(tree.names[tree.parents[i]])]
+            own += around[i]
             if "©" in tree.texts[i]:
                 own.append("run marks")
         else:
