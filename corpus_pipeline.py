@@ -24,28 +24,42 @@ def with_text(rows: DataFrame, columns: list[str], given: str) -> DataFrame:
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all columns in the struct _docs, where no result can clash with them."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_docs"))
+    """doc_id, text, and all columns but the text in the struct _docs, where no result can clash with them."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_docs"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep most of their text, without the lines that failed."""
+    """Documents that pass the base rules and keep most of their text, without the lines that failed.
+
+    Null, empty and blank texts fail. Rows are judged each, whatever their
+    doc_id, null included. An empty table gives no rows.
+    """
     judged = quality.assess(whole(docs), with_text=True, carry=True).filter("kept")
     return with_text(judged, docs.columns, "_given._docs")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the labelled ones teach; a null lang is filled in."""
+    """Documents of a language that the labelled ones teach; a null lang is filled in.
+
+    Without a labelled document all stay. A text without a letter goes. Rows
+    are judged each, whatever their doc_id, null included; null ids are not
+    learned from. An empty table gives no rows.
+    """
     filters = language_id.train(docs)
     if not filters.languages:
         return docs
-    found = language_id.identify(docs, filters, carry=True).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    given = lambda c: F.coalesce(f"_given.{c}", "lang_pred") if c == "lang" else F.col(f"_given.{c}")
-    return found.select(*(given(c).alias(c) for c in docs.columns))
+    found = language_id.identify(whole(docs), filters, carry=True, with_text=True).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    new = {"text": F.col("text"), "lang": F.coalesce("_given._docs.lang", "lang_pred")}
+    return found.select(*(new.get(c, F.col(f"_given._docs.{c}")).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier; those of which no word is left go."""
+    """Documents without lines that stand earlier; those of which no word is left go.
+
+    Rows with one doc_id count as one document, rows with a null one as a
+    document behind all others (see line_dedup). Texts that lose nothing stay,
+    blank ones included. An empty table gives no rows.
+    """
     found = line_dedup.deduplicate(whole(docs))
     found = found.filter(F.col("removed").isNull() | F.rlike("cleaned", F.lit(r"[^\x20\x09-\x0D]")))
     return with_text(found, docs.columns, "_docs")
@@ -63,7 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = near_dup.near_duplicates(docs, rows=True).filter("kept").groupBy("group", "doc_id", "row").agg(F.count("*").alias("n"))
     kept = kept.groupBy("group").agg(F.min(F.struct("doc_id", "row", "n")).alias("k"))
     kept = staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_row"), F.col("k.n").alias("_n")), "kept")
-    given = whole(docs).select("_docs", F.col("doc_id").cast("long").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_r"))
+    given = docs.select(F.struct(*docs.columns).alias("_docs"), "doc_id", "text").select("_docs", F.col("doc_id").cast("long").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_r"))
     found = given.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")))
     # only rows that are copies of each other are grouped
     if not kept.filter("_n > 1").isEmpty():
@@ -72,7 +86,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens.
+
+    Null and empty texts take one token; rows that repeat a doc_id are packed
+    each. An empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
