@@ -163,7 +163,7 @@ def vector_dim_guard(spark, sf_dir):
     """Vectors of odd ids are cut short, and so are skipped."""
     e = table(spark, sf_dir, "embeddings")
     cut = e.select("vec_id", F.when(F.col("vec_id") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return knn.vector_search(q, cut, 5, "vec_id").select("query_id", "vec_id", "rank0", F.round("score", 6).alias("score"))
 
 
@@ -272,9 +272,11 @@ def find_related(spark, sf_dir):
 
 
 def point_get(spark, sf_dir):
-    """A chunk by its content id."""
-    wanted = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of the empty text
-    return lookup.get_chunk(doc_chunks(spark, sf_dir), wanted).select("id", "file_path", "start_line")
+    """Chunks by a content id that exists (of the first document, asked for as a query would) and by one that doesn't."""
+    chunks = doc_chunks(spark, sf_dir)
+    known = table(spark, sf_dir, "documents").filter("text is not null").agg(F.min_by(text.content_id(F.col("text")), "doc_id")).first()[0]
+    found = lookup.get_chunk(chunks, known or "").union(lookup.get_chunk(chunks, "0" * 64))
+    return found.select("id", "file_path", "start_line")
 
 
 def module_path(spark, sf_dir):
@@ -355,12 +357,13 @@ def embed_turns(spark, sf_dir):
     return e.select("key", F.size("embedding").alias("dimension"), F.round(norm, 4).alias("norm"))
 
 
+#: Small sources of every language, by path.
 FIXTURES = {
-    "svc/auth.go": "package svc\n\ntype Auth interface {\n\tLogin() error\n}\n\ntype Service struct{}\n\nfunc (s *Service) Login() error {\n\treturn nil\n}\n\nfunc Routes() {\n}\n",
-    "svc/auth.py": "class Auth:\n    def login(self):\n        return 1\n\ndef routes():\n    return 2\n",
-    "src/lib.rs": "pub struct Parser;\n\nimpl Parser {\n    pub fn new() -> Self { Parser }\n}\n\nimpl Default for Parser {\n    fn default() -> Self { Parser }\n}\n\npub trait Walk { fn go(&self); fn twice(&self) { self.go() } }\n",
-    "web/app.js": "class App {\n  run() { return 1 }\n}\nfunction start() { return new App().run() }\n",
-    "web/app.ts": "interface Runner { run(n: number): void }\nclass App implements Runner {\n  run(n: number): void { }\n}\nexport function start(): void { }\n",
+    "inventory/shelf.go": "package inventory\n\ntype Counter interface {\n\tCount(item string) int\n}\n\ntype Shelf struct {\n\titems map[string]int\n}\n\nfunc (s Shelf) Count(item string) int {\n\treturn s.items[item]\n}\n\nfunc Empty() Shelf { return Shelf{} }\n",
+    "tools/report.py": "class Report:\n    def lines(self):\n        return []\n\n\ndef total(numbers):\n    return sum(numbers)\n",
+    "engine/src/tank.rs": "pub enum Fuel { Wood, Coal }\n\npub struct Tank {\n    level: u32,\n}\n\nimpl Tank {\n    pub fn fill(&mut self, by: u32) {\n        self.level += by;\n    }\n}\n\nfn drained(t: &Tank) -> bool { t.level == 0 }\n",
+    "page/clock.js": "class Clock {\n  tick() { this.t += 1 }\n}\nfunction start(clock) { return setInterval(() => clock.tick(), 1000) }\n",
+    "page/shape.ts": "interface Shape { area(): number }\nclass Square implements Shape {\n  area(): number { return this.side * this.side }\n}\nexport function sum(shapes: Shape[]): number { return 0 }\n",
 }
 
 

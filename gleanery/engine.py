@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from .embedding import Embedder, HashedTokens, embed
 from .operators import bm25
+from .operators.ranking import result_order
 from .plans import search as plans
 from .schema import QUERIES
 from .sources import repository, requests
 from .sources.store import Store
+from .sizes import release
 
 
 class Engine:
-    """Answers one query or a DataFrame of queries (query_id, query); all results are DataFrames."""
+    """Answers one query or a DataFrame of queries (query_id, query); results are DataFrames, the best of each query first."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None):
         self.spark, self.store, self.embedder = spark, Store(spark, path), embedder or HashedTokens()
@@ -56,19 +58,25 @@ class Engine:
         return query if isinstance(query, DataFrame) else self.spark.createDataFrame([(0, query)], QUERIES)
 
     def search(self, query: str | DataFrame) -> DataFrame:
-        return plans.search(self._queries(query), self.corpus, self.embedder, self.include_tests)
+        return plans.search(self._queries(query), self.corpus, self.embedder, self.include_tests).orderBy(*result_order())
 
     def resolve_symbol(self, name: str | DataFrame) -> DataFrame:
-        return plans.resolve(self._queries(name), self.corpus)
+        return plans.resolve(self._queries(name), self.corpus).orderBy(*result_order())
 
     def find_related(self, file: str | DataFrame, line: int | None = None) -> DataFrame:
         """Of one position or of a DataFrame (query_id, file, line)."""
         positions = file if isinstance(file, DataFrame) else self.spark.createDataFrame([(0, file, line)], "query_id long, file string, line long")
-        return plans.related(positions, self.corpus)
+        return plans.related(positions, self.corpus).orderBy(*result_order())
 
     def flow(self, query: str) -> DataFrame:
         """The best result alone, as a starting point to trace a flow from."""
-        return self.search(query).orderBy(F.desc("score"), "symbol_id", "file_path", "start_line").limit(1)
+        return self.search(query).limit(1)
+
+    def answer(self, line: str) -> str | None:
+        """The response to one JSON request, for a loop over lines; None for a blank line."""
+        row = self.serve(self.spark.createDataFrame([(0, line.strip())], "request_id long, value string")).first()
+        release()
+        return row["response"] if row else None
 
     def serve(self, lines: DataFrame) -> DataFrame:
         """(request_id, response) of JSON requests (request_id, value); tests are never included."""

@@ -20,10 +20,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def same_dimension(a: Column, b: Column) -> Column:
-    return F.size(a) == F.size(b)
-
-
 def vector_search(queries: DataFrame, embeddings: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, <id>, score, rank0): the k nearest of each query vector; ties by id.
 

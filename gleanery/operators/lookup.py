@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sizes import broadcast_if_small
+from ..sizes import broadcast_if_small, kept
 from .knn import vector_search
 
 #: Lines in a bucket of the position index.
@@ -57,7 +57,7 @@ def find_related(positions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
 
     around = locate(positions, chunks)
     asked = around.select("query_id", F.col("id").alias("chunk_id")).join(embeddings, "chunk_id").select("query_id", "embedding")
-    near = vector_search(asked, embeddings, k).persist()
+    near = kept(vector_search(asked, embeddings, k))
     # embeddings are by content, so a neighbour is the id's first chunk
     first = chunks.join(broadcast_if_small(near.select(F.col("chunk_id").alias("id")).distinct()), "id", "left_semi")
     order = Window.partitionBy("id").orderBy("file_path", "start_line", "end_line")

@@ -11,7 +11,7 @@ from ..embedding import Embedder, embed
 from ..functions.intent import classify, search_text
 from ..operators import bm25, knn, lookup, ranking
 from ..schema import RESULT_COLUMNS
-from ..sizes import broadcast_if_small
+from ..sizes import broadcast_if_small, kept
 
 EXACT_K, LEXICAL_K, SEMANTIC_K, RESOLVE_K, RELATED_K = 25, 50, 50, 25, 20
 
@@ -71,7 +71,7 @@ def search(queries: DataFrame, corpus: Corpus, embedder: Embedder, include_tests
 def representatives(near: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk columns of (query_id, chunk_id, rank0): embeddings are by content, so an id's first chunk stands for it."""
     columns = ["file_path", "start_line", "end_line", "symbols_defined"]
-    near = near.persist()
+    near = kept(near)
     wanted = broadcast_if_small(near.select(F.col("chunk_id").alias("id")).distinct())
     first = chunks.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("file_path", "start_line", "end_line", "symbols_defined")).alias("_c"))
     return near.withColumnRenamed("chunk_id", "id").join(first, "id").select("query_id", "id", *(F.col(f"_c.{c}").alias(c) for c in columns), "rank0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
+from ..sizes import release
 
 
 def serve_stream(spark: SparkSession, engine: Engine, requests_dir: str, responses_dir: str, checkpoint: str) -> StreamingQuery:
@@ -17,5 +18,6 @@ def serve_stream(spark: SparkSession, engine: Engine, requests_dir: str, respons
         numbered = batch.withColumn("request_id", F.monotonically_increasing_id())
         out = engine.serve(numbered).select(F.col("response").alias("value"))
         out.write.mode("overwrite").text(f"{responses_dir}/batch={number}")
+        release()
 
     return lines.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

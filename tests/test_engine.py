@@ -108,6 +108,39 @@ def test_cli(spark, repo, tmp_path):
     assert "METHOD\n  AuthService.Login\n\n  Confidence: High (100%)\n\n  Why:\n  - Exact symbol match\n\n  Symbol:\n" in shown
 
 
+def test_request_loop_and_hand_off(spark, engine, repo, tmp_path):
+    base, out, told = ["-s", engine.store.path], io.StringIO(), tmp_path / "told"
+    lines = ['{"method":"search","params":{"query":"AuthService.Login"}}\n', "\n", "{bad\n"]
+    assert cli.run(spark, [*base, "serve", "-"], out, lines) == 0
+    first, second = map(json.loads, out.getvalue().splitlines())
+    assert first[0]["symbol_id"] == "method:internal/auth:AuthService.Login" and second == {"error": "Invalid JSON"}
+    assert cli.run(spark, [*base, "flow", "AuthService.Login", "--to", f"sh -c 'echo $0 > {told}'"], out) == 0
+    assert told.read_text().strip() == "method:internal/auth:AuthService.Login"
+    assert cli.run(spark, ["-s", str(tmp_path / "i"), "init", repo, "--also", "test -d"], out) == 0
+
+
+def test_results_come_in_order(engine, spark):
+    queries = spark.createDataFrame([(0, "auth flow"), (1, "define the store")], "query_id long, query string")
+    got = [(r.query_id, -r.score, r.symbol_id) for r in engine.search(queries).collect()]
+    assert got and got == sorted(got)
+
+
+def test_a_version_that_is_not_pointed_to_does_not_count(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    one = spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<float>")
+    s.write("embeddings", one)
+    before = s.current("embeddings")
+    # a write that ended before its pointer was replaced
+    one.write.parquet(f"{s.path}/embeddings/unfinished")
+    assert s.current("embeddings") == before and s.read("embeddings").count() == 1
+    s.write("embeddings", s.read("embeddings").union(one.selectExpr("'b'", "embedding")))
+    assert sorted(r.chunk_id for r in s.read("embeddings").collect()) == ["a", "b"]
+    s.export_embeddings_json(str(tmp_path / "json"))
+    other = Store(spark, str(tmp_path / "other"))
+    other.import_embeddings_json(str(tmp_path / "json"), lines=True)
+    assert sorted(map(tuple, other.read("embeddings").collect())) == [("a", [1.0]), ("b", [1.0])]
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     assert s.read("chunks").count() == 0
