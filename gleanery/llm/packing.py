@@ -23,8 +23,8 @@ from .vocabulary import loaded, read_spec
 
 CAPACITY = 2048
 END_ID = 0
-#: Documents of one length are ranked in so many groups, as a length may be very common.
-RANK_GROUPS = 64
+#: Pieces of one length are ranked in groups of about so many, as a length may be very common.
+ROWS_A_GROUP = 1 << 18
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -117,37 +117,47 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     Null and empty texts take one token (end_id). Rows that repeat a doc_id are
     packed each. An empty table gives no rows. Texts are tokenised once, into a
     staged table of pieces; what is collected is a histogram of at most
-    capacity * RANK_GROUPS counts, and the plan is broadcast.
+    `capacity` lengths, and one of the groups that the pieces of a length are
+    ranked in, one for each ROWS_A_GROUP pieces. The plan is broadcast.
     """
     cut_up = staged(pieces(docs, path, capacity, end_id, with_ids), "pieces")
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int")
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in cut_up.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    groups = np.maximum(1, -(-counts // ROWS_A_GROUP))
+    common = [x for n in np.flatnonzero(groups > 1) for x in (F.lit(int(n)), F.lit(int(groups[n])))]
+    of_length = F.coalesce(F.try_element_at(F.create_map(*common), F.col("length").cast("int")), F.lit(1)) if common else F.lit(1)
+    group = F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int")
     grouped = cut_up.withColumn("_group", group)
-    found = grouped.groupBy("length", "_group").count().collect()
-
-    counts = np.zeros((capacity + 1, RANK_GROUPS), np.int64)
-    for row in found:
-        counts[row["length"], row["_group"]] = row["count"]
-    before = np.cumsum(counts, axis=1) - counts
+    # places of a length's groups side by side: how many pieces of the length are in the groups before
+    first = np.cumsum(groups) - groups
+    before = np.zeros(int(groups.sum()), np.int64)
+    if common:
+        for row in grouped.groupBy("length", "_group").count().collect():
+            before[first[row["length"]] + row["_group"]] = row["count"]
+        for n in range(capacity + 1):
+            own = before[first[n] : first[n] + groups[n]]
+            own[:] = np.cumsum(own) - own
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken, sequence = np.zeros(capacity + 1, np.int64), 0
-    for times, lengths in plan(counts.sum(axis=1)):
+    for times, lengths in plan(counts):
         offset = 0
         for length in lengths:
             slots.setdefault(length, []).append((int(taken[length]), sequence, offset))
             taken[length] += times
             offset += length
         sequence += times
-    shared = docs.sparkSession.sparkContext.broadcast((before, {k: np.array(v, np.int64) for k, v in slots.items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((before, first, {k: np.array(v, np.int64) for k, v in slots.items()}))
 
     ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece")).cast("long") - 1)
     kept = cut_up.columns
     schema = ", ".join(f"{c} {t}" for c, t in [*cut_up.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")])
 
     def run(batches):
-        before, slots = shared.value
+        before, first, slots = shared.value
         for b in batches:
             lengths, groups, ranks = (b.column(c).to_numpy() for c in ("length", "_group", "_rank"))
-            slot = before[lengths, groups] + ranks
+            slot = before[first[lengths] + groups] + ranks
             sequence, offset = np.zeros_like(slot), np.zeros_like(slot)
             for length in np.unique(lengths):
                 own, table = lengths == length, slots[int(length)]

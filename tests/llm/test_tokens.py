@@ -125,6 +125,15 @@ def test_packing(docs, expected):
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows) and sum(r.n_tokens for r in rows) == total
 
 
+def test_packing_of_common_lengths_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_GROUP", 7)
+    rows = [(i, "word " * (i % 3)) for i in range(200)] + [(500, "a b c " * 4000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = [(i, t, loaded(read_spec()).encode(t).tolist()) for i, t in rows]
+    used, total = check_packing(got, expected)
+    assert used <= -(-total // packing.CAPACITY) + 1
+
+
 def test_cut():
     assert packing.cut(5, 5) == [(0, 5)]
     assert packing.cut(4, 5) == [(0, 4)]
