@@ -46,6 +46,13 @@ NOTICES = {
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0",
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-gpl2": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-lgpl21": "SPDX-License-Identifier: LGPL-2.1",
+    "spdx-agpl3": "SPDX-License-Identifier: AGPL-3.0",
+    "spdx-mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
     "apache-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
@@ -67,6 +74,35 @@ NOTICES = {
         "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
         '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'
     ),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "mpl-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "cc0-notice": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or "
+        "neighboring rights to this work."
+    ),
+    "bsd-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
     "bsd-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "

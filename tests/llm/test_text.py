@@ -186,6 +186,18 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def test_licenses_at_any_place(spark):
+    """Each notice behind any number of words is found, whatever windows it falls into; recall is counted on its own words."""
+    pick, rows = random.Random(11), []
+    for name, notice in licenses.NOTICES.items():
+        for at in (0, 1, 2, 3, 7, 13, 50, 211):
+            before = " ".join(pick.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(at))
+            rows.append((len(rows), f"{before}\n{notice.upper() if at % 2 else notice}\nomega psi chi", name))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.license) for r in licenses.scan(docs).filter("containment = 1").collect()}
+    assert {(i, name) for i, _, name in rows} <= found
+
+
 def test_short_licenses(spark):
     lines = {
         "All rights reserved.": "rights-reserved",
