@@ -23,8 +23,8 @@ from .vocabulary import loaded, read_spec
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length are ranked in groups of about so many, as a length may be very common.
-ROWS_A_GROUP = 1 << 18
+#: Pieces of one length are ranked in groups, as a length may be very common: of FEW_ROWS up to LEAST_GROUPS, then of ROWS_A_GROUP.
+FEW_ROWS, LEAST_GROUPS, ROWS_A_GROUP = 64, 64, 1 << 18
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -118,13 +118,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     packed each. An empty table gives no rows. Texts are tokenised once, into a
     staged table of pieces; what is collected is a histogram of at most
     `capacity` lengths, and one of the groups that the pieces of a length are
-    ranked in, one for each ROWS_A_GROUP pieces. The plan is broadcast.
+    ranked in, LEAST_GROUPS or one for each ROWS_A_GROUP pieces. The plan is broadcast.
     """
     cut_up = staged(pieces(docs, path, capacity, end_id, with_ids), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in cut_up.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    groups = np.maximum(1, -(-counts // ROWS_A_GROUP))
+    groups = np.maximum(np.minimum(LEAST_GROUPS, 1 + counts // FEW_ROWS), -(-counts // ROWS_A_GROUP))
     common = [x for n in np.flatnonzero(groups > 1) for x in (F.lit(int(n)), F.lit(int(groups[n])))]
     of_length = F.coalesce(F.try_element_at(F.create_map(*common), F.col("length").cast("int")), F.lit(1)) if common else F.lit(1)
     group = F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int")
