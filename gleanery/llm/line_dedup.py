@@ -43,6 +43,8 @@ WANTED_ROWS = 500_000
 STEPS_A_DOUBLING = 3
 #: Letters that are counted in a line, six in a number; an edit changes two of the counts by one at most.
 LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp"], 10
+#: Characters after which a comparison ends if no value of the band's column is small enough.
+LOOK = 24
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
 STEPS = [1 << i for i in range(15, -1, -1)]
 ID = ["k1", "k2"]
@@ -85,9 +87,20 @@ def hashed(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
 
 
+def even_bytes() -> Column:
+    """The line with four bytes for each character, so that cut() need not count characters from its start."""
+    return F.encode("line", "UTF-32").alias("line")
+
+
+def cut(start: Column, size: Column) -> Column:
+    """Characters of an even_bytes() line, from `start` (from 1)."""
+    return F.substring(F.col("line"), start * 4 - 3, size * 4)
+
+
 def placed(lines: DataFrame, codes: Column) -> DataFrame:
     """lines with a row for each code, and its three numbers a, i and shift; constant lists, so that keys are made in generated code."""
-    rows = lines.select("id", "line", F.col("size").alias("n"), F.explode(codes).alias("c"))
+    rows = lines.select("id", even_bytes(), F.col("size").alias("n"))
+    rows = rows.select("id", "line", "n", F.explode(codes).alias("c"))
     return rows.select("id", "line", "n", F.shiftright("c", 16).alias("a"), F.shiftright("c", 8).bitwiseAND(F.lit(255)).alias("i"), (F.col("c").bitwiseAND(F.lit(255)) - 64).alias("shift"))
 
 
@@ -110,7 +123,7 @@ def even_keys(lines: DataFrame, edits: int, holds: Column) -> DataFrame:
     start, size = segment(F.col("n") - F.col("a"), F.col("i"), edits)
     at = placed(lines, coded(places)).withColumns({"start": start + F.col("shift"), "width": size})
     at = at.filter("start >= 1 and start + width - 1 <= n and width >= 1")
-    key = hashed(F.col("n") - F.col("a"), F.col("i"), F.substring(F.col("line"), F.col("start"), F.col("width")))
+    key = hashed(F.col("n") - F.col("a"), F.col("i"), cut(F.col("start"), F.col("width")))
     return at.select("id", key.alias("key"), ((F.col("a") == 0) & (F.col("shift") == 0) & holds).alias("own"), "i", F.col("a").alias("shorter"))
 
 
@@ -136,7 +149,7 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     bound = lambda step: F.floor(F.pow(F.lit(2.0), step / STEPS_A_DOUBLING) * top).cast("int")
     # the floor of a logarithm may be one off, so the bounds decide
     guess = F.floor(F.log2(n / F.lit(float(top))) * STEPS_A_DOUBLING)
-    lines = lines.select("id", "line", "size", guess.alias("_g"))
+    lines = lines.select("id", even_bytes(), "size", guess.alias("_g"))
     step = F.when(n >= bound(F.col("_g") + 1), F.col("_g") + 1).when(n < bound(F.col("_g")), F.col("_g") - 1).otherwise(F.col("_g"))
     lines = lines.select("id", "line", "size", step.alias("_g"))
     least = F.when(n >= top, bound(F.col("_g"))).otherwise(allowed(n) * CHARS_PER_EDIT)
@@ -163,7 +176,7 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("width", F.floor(F.col("m") / (F.col("k") + 1)).cast("int"))
     start = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("width")).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * F.col("width"))
     rows = rows.withColumn("start", start + 1 + F.col("shift")).filter("start >= 1 and start + width - 1 <= n")
-    key = hashed(F.lit(-1), F.col("m"), F.col("i"), F.substring(F.col("line"), F.col("start"), F.col("width")))
+    key = hashed(F.lit(-1), F.col("m"), F.col("i"), cut(F.col("start"), F.col("width")))
     return rows.select("id", key.alias("key"), (F.col("first_class") & (F.col("shift") == 0)).alias("own"), "i", F.lit(-1).alias("shorter"))
 
 
@@ -285,7 +298,7 @@ def common_start(a: Column, b: Column) -> Column:
 
 
 def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """pairs with `_distance` of the lines a and b, null where it is more than `edits` (31 at most).
+    """pairs with `_distance` of the lines a and b, null where it is more than `edits` (31 at most), or left out.
 
     What both lines begin and end with is left out. Of the rest, a column of the
     band of 2 * edits + 1 diagonals stands for one character of b: bit d says
@@ -329,13 +342,19 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         )
 
     start = F.struct(long((1 << width) - (1 << edits)).alias("vp"), long(0).alias("vn"), long(edits).alias("v"))
-    end = F.aggregate(F.transform("_r.b", equal), start, step)
+    # most lines that are not near differ too much after some characters, so the others alone are compared to their ends
+    head = F.aggregate(F.transform(F.slice("_r.b", 1, LOOK), equal), start, step)
+    near = near.select("*", once(head).alias("_h"))
+    least = F.least(*(F.col("_h.v") - F.bit_count(F.col("_h.vp").bitwiseAND(long(above))) + F.bit_count(F.col("_h.vn").bitwiseAND(long(above))) for above in (last - (1 << d) for d in range(width))))
+    near = near.filter(least <= edits)
+    tail = F.slice("_r.b", LOOK + 1, F.greatest(F.lit(0), F.size("_r.b") - LOOK))
+    end = F.aggregate(F.transform(tail, lambda c, j: equal(c, j + LOOK)), F.col("_h"), step)
     near = near.select("*", once(end).alias("_e"))
     # from the band's last row up to a's last one
     low = F.size("_r.a") - F.size("_r.b") + edits
     mask = F.expr(f"{last - 1}L & ~(shiftleft(1L, {edits} + size(_r.a) - size(_r.b)) - 1L)")
     value = F.col("_e.v") - F.bit_count(F.col("_e.vp").bitwiseAND(mask)) + F.bit_count(F.col("_e.vn").bitwiseAND(mask))
-    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_p", "_s", "_q", "_r", "_e")
+    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_p", "_s", "_q", "_r", "_h", "_e")
 
 
 def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
@@ -360,32 +379,40 @@ def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
     members = staged(keyed.join(broadcast_if_small(shared, WANTED_ROWS), "key", "left_semi"), "members")
     if members.isEmpty():
         return none
-    members = staged(members.join(lines.select("id", F.struct(*AT).alias("at"), "size", letter_counts(F.col("line")).alias("letters")), "id"), "members")
+    # only the lines that share a key are read from here on
+    wanted = staged(members.select("id").distinct(), "wanted")
+    known = lines.join(broadcast_if_small(wanted, WANTED_ROWS), "id", "left_semi")
+    known = staged(known.select("id", F.struct(*AT).alias("at"), "line", "size", letter_counts(F.col("line")).alias("letters")), "known")
+    facts = known.select("id", "at", "size", "letters")
     if edits is None:
         one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
-        members = by_length(more)
+        members = by_length(more.join(facts, "id"))
         if not one.isEmpty():
-            members = narrowed(one, lines).union(members)
+            members = narrowed(one.join(facts, "id"), known).union(members)
     else:
-        members = narrowed(members, lines) if edits == 1 else members.select("key", "id", "own", "at", "size", "letters")
-
-    gone, done, each = none, 0, 1
-    while True:
-        # members of a key in order; the earliest `each` of those behind the pointer lead
-        open_lines = members.join(gone, "id", "left_anti")
-        last = open_lines.groupBy("key").agg(F.max("at").alias("last"))
-        ranked = members.join(last, "key").filter("at < last")
-        order = F.row_number().over(Window.partitionBy("key").orderBy("at"))
-        leaders = ranked.withColumn("_n", order).filter((F.col("_n") > done) & (F.col("_n") <= done + each))
-        leaders = staged(leaders.select("key", F.col("id").alias("lead"), F.col("at").alias("_at"), F.col("own").alias("_own"), F.col("size").alias("_size"), F.col("letters").alias("_letters")), "leaders")
-        if leaders.isEmpty():
-            return gone
-        met = open_lines.join(leaders, "key").filter(f"at > _at and (own or _own) and {may_be_near(edits)}").select("id", "lead").distinct()
-        met = staged(met, "met")
-        both = met.join(lines.select("id", "line"), "id").join(lines.select(F.col("id").alias("lead"), F.col("line").alias("other")), "lead")
-        found = near_pairs(both, "line", "other", edits).select("id").distinct()
-        gone = staged(gone.union(found).distinct(), "gone")
+        members = members.join(facts, "id")
+        members = narrowed(members, known) if edits == 1 else members.select("key", "id", "own", "at", "size", "letters")
+
+    # a line comes once under a key, held as a segment if it is so anywhere; members of a key are numbered in order
+    members = members.groupBy("key", "id", "at", "size", "letters").agg(F.max("own").alias("own"))
+    order = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    members = staged(members.withColumn("n", order), "ranked")
+    most = members.agg(F.max("n")).first()[0] or 0
+
+    gone, open_lines, done, each = none, members, 0, 1
+    while done < most - 1:
+        # the next `each` members of a key lead, and are compared with those behind them
+        leaders = members.filter((F.col("n") > done) & (F.col("n") <= done + each))
+        leaders = leaders.select("key", F.col("id").alias("lead"), F.col("n").alias("_n"), F.col("own").alias("_own"), F.col("size").alias("_size"), F.col("letters").alias("_letters"))
+        met = open_lines.filter(F.col("n") > done + 1).join(leaders, "key").filter(f"n > _n and (own or _own) and {may_be_near(edits)}")
+        met = staged(met.select("id", "lead").distinct(), "met")
+        if not met.isEmpty():
+            both = met.join(known.select("id", "line"), "id").join(known.select(F.col("id").alias("lead"), F.col("line").alias("other")), "lead")
+            found = near_pairs(both, "line", "other", edits).select("id").distinct()
+            gone = staged(gone.union(found), "gone")
         done, each = done + each, each * SMALL
+        open_lines = members.filter(F.col("n") > done + 1).join(gone, "id", "left_anti")
+    return gone
 
 
 def duplicate_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
