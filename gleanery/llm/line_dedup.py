@@ -43,6 +43,8 @@ WANTED_ROWS = 500_000
 STEPS_A_DOUBLING = 3
 #: Letters that are counted in a line, six in a number; an edit changes two of the counts by one at most.
 LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp"], 10
+#: Characters of the pieces of a line that are sought in the other line before it is compared.
+PIECE = 3
 #: Characters after which a comparison ends if no value of the band's column is small enough.
 LOOK = 24
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
@@ -290,15 +292,23 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def common_start(a: Column, b: Column) -> Column:
-    """Length of what both lines begin with, up to the sum of STEPS."""
-    most = F.least(F.length(a), F.length(b))
+def common_start(a: Column, b: Column, most: Column) -> Column:
+    """Length of what both lines begin with, up to the sum of STEPS; most: the length of the shorter one. Give columns, as each step reads all three."""
     longer = lambda p, s: F.when((p + s <= most) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s)), p + s).otherwise(p)
     return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer)
 
 
-def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """pairs with `_distance` of the lines a and b, null where it is more than `edits` (31 at most), or left out.
+def missing_pieces(a: str, b: str, edits: int) -> Column:
+    """How many pieces of a are nowhere in b within `edits` places of their own; each of them takes an edit, as they don't overlap."""
+    window = f"substring({b}, greatest(1, {PIECE} * i + 1 - {edits}), {PIECE + edits} + least({edits}, {PIECE} * i))"
+    pieces = f"sequence(0, greatest(0, cast(length({a}) div {PIECE} as int) - 1))"
+    return F.expr(f"size(filter({pieces}, i -> instr({window}, substring({a}, {PIECE} * i + 1, {PIECE})) = 0))")
+
+
+def distances(pairs: DataFrame, a: str, b: str, edits: int, most: Column | None = None) -> DataFrame:
+    """pairs with `_distance` of the lines a and b, null where it is more than `edits` (31 at most).
+
+    Pairs may be left out whose distance is more than `edits`, or than `most`.
 
     What both lines begin and end with is left out. Of the rest, a column of the
     band of 2 * edits + 1 diagonals stands for one character of b: bit d says
@@ -312,10 +322,16 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     full, last = long((1 << width) - 1), 1 << width - 1
 
     near = pairs.filter(F.abs(F.length(a) - F.length(b)) <= edits)
-    near = near.select("*", once(common_start(F.col(a), F.col(b))).alias("_p"))
+    near = near.select("*", once(F.least(F.length(a), F.length(b))).alias("_n"))
+    near = near.select("*", once(common_start(F.col(a), F.col(b), F.col("_n"))).alias("_p"))
     near = near.select("*", once(F.struct(*(F.expr(f"substring({x}, _p + 1)").alias(y) for x, y in ((a, "a"), (b, "b"))))).alias("_s"))
-    near = near.select("*", once(common_start(F.reverse("_s.a"), F.reverse("_s.b"))).alias("_q"))
-    rest = lambda y: F.expr(f"if(length(_s.{y}) > _q, split(substring(_s.{y}, 1, length(_s.{y}) - _q), ''), cast(array() as array<string>))").alias(y)
+    near = near.select("*", once(F.struct(F.reverse("_s.a").alias("a"), F.reverse("_s.b").alias("b"), F.least(F.length("_s.a"), F.length("_s.b")).alias("n"))).alias("_v"))
+    near = near.select("*", once(common_start(F.col("_v.a"), F.col("_v.b"), F.col("_v.n"))).alias("_q"))
+    # most pairs are variants of one line that differ in several places, which pieces tell without a step for each character
+    near = near.select("*", once(F.struct(*(F.expr(f"substring(_s.{y}, 1, length(_s.{y}) - _q)").alias(y) for y in ("a", "b")))).alias("_m"))
+    bound = F.lit(edits) if most is None else most
+    near = near.filter(missing_pieces("_m.a", "_m.b", edits) <= bound)
+    rest = lambda y: F.expr(f"if(_m.{y} <> '', split(_m.{y}, ''), cast(array() as array<string>))").alias(y)
     near = near.select("*", once(F.struct(rest("a"), rest("b"))).alias("_r"))
 
     def equal(c: Column, j: Column) -> Column:
@@ -346,7 +362,7 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     head = F.aggregate(F.transform(F.slice("_r.b", 1, LOOK), equal), start, step)
     near = near.select("*", once(head).alias("_h"))
     least = F.least(*(F.col("_h.v") - F.bit_count(F.col("_h.vp").bitwiseAND(long(above))) + F.bit_count(F.col("_h.vn").bitwiseAND(long(above))) for above in (last - (1 << d) for d in range(width))))
-    near = near.filter(least <= edits)
+    near = near.filter(least <= bound)
     tail = F.slice("_r.b", LOOK + 1, F.greatest(F.lit(0), F.size("_r.b") - LOOK))
     end = F.aggregate(F.transform(tail, lambda c, j: equal(c, j + LOOK)), F.col("_h"), step)
     near = near.select("*", once(end).alias("_e"))
@@ -354,7 +370,7 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     low = F.size("_r.a") - F.size("_r.b") + edits
     mask = F.expr(f"{last - 1}L & ~(shiftleft(1L, {edits} + size(_r.a) - size(_r.b)) - 1L)")
     value = F.col("_e.v") - F.bit_count(F.col("_e.vp").bitwiseAND(mask)) + F.bit_count(F.col("_e.vn").bitwiseAND(mask))
-    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_p", "_s", "_q", "_r", "_h", "_e")
+    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_n", "_p", "_s", "_v", "_q", "_m", "_r", "_h", "_e")
 
 
 def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
@@ -368,7 +384,7 @@ def near_pairs(pairs: DataFrame, a: str, b: str, edits: int | None) -> DataFrame
         return bit_parallel(pairs, a, b, edits)
     most = allowed(F.least(F.length(a), F.length(b)))
     some = pairs.filter(F.abs(F.length(a) - F.length(b)) <= most)
-    return distances(some, a, b, MOST_EDITS).filter(F.col("_distance") <= most).drop("_distance")
+    return distances(some, a, b, MOST_EDITS, most).filter(F.col("_distance") <= most).drop("_distance")
 
 
 def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
