@@ -41,15 +41,20 @@ SMALL, FEW, MANY = 8, 4, 16
 WANTED_ROWS = 500_000
 #: Classes of the lines of MOST_EDITS that one doubling of the length is cut into.
 STEPS_A_DOUBLING = 3
-#: Letters that are counted in a line, six in a number; an edit changes two of the counts by one at most.
-LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp"], 10
+#: Letters that are counted in a text, six in a number, the last with all other characters; an edit changes two of the counts by one at most. The highest bit of each is free for comparisons.
+LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp", "ybvkx"], 10
 #: Characters of the pieces of a line that are sought in the other line before it is compared.
 PIECE = 3
 #: Characters after which a comparison ends if no value of the band's column is small enough.
 LOOK = 24
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
 STEPS = [1 << i for i in range(15, -1, -1)]
+#: The free bits of a number of counts.
+FREE = sum(1 << BITS_A_LETTER * (i + 1) - 1 for i in range(len(LETTERS[0])))
 ID = ["k1", "k2"]
+#: What a member of a key carries, and what is known of the line on both sides of the key's characters.
+CARRY = ["id", "own", "at", "size"]
+SIDES = ["i", *(f"{side}_{x}" for side in ("before", "behind") for x in ("n", *range(len(LETTERS))))]
 #: Order of lines: a null doc_id stands behind all others.
 AT = ["unknown", "first", "pos", "k1", "k2"]
 
@@ -111,10 +116,11 @@ def coded(places: list[tuple[int, int, int]]) -> Column:
 
 
 def even_keys(lines: DataFrame, edits: int, holds: Column) -> DataFrame:
-    """(id, key, own, i, shorter) for lines within a fixed number of edits.
+    """(id, key, own, i, shorter, start, width) for lines within a fixed number of edits.
 
     own: the line itself holds the key as a segment (and `holds` is true);
-    i: number of the segment; shorter: how much shorter the other line is.
+    i: number of the segment; shorter: how much shorter the other line is;
+    start, width: where the key's characters stand in the line, from 1.
     """
     places = []
     for shorter in range(edits + 1):
@@ -126,7 +132,7 @@ def even_keys(lines: DataFrame, edits: int, holds: Column) -> DataFrame:
     at = placed(lines, coded(places)).withColumns({"start": start + F.col("shift"), "width": size})
     at = at.filter("start >= 1 and start + width - 1 <= n and width >= 1")
     key = hashed(F.col("n") - F.col("a"), F.col("i"), cut(F.col("start"), F.col("width")))
-    return at.select("id", key.alias("key"), ((F.col("a") == 0) & (F.col("shift") == 0) & holds).alias("own"), "i", F.col("a").alias("shorter"))
+    return at.select("id", key.alias("key"), ((F.col("a") == 0) & (F.col("shift") == 0) & holds).alias("own"), "i", F.col("a").alias("shorter"), "start", "width")
 
 
 def allowed(n: Column) -> Column:
@@ -179,11 +185,11 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     start = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("width")).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * F.col("width"))
     rows = rows.withColumn("start", start + 1 + F.col("shift")).filter("start >= 1 and start + width - 1 <= n")
     key = hashed(F.lit(-1), F.col("m"), F.col("i"), cut(F.col("start"), F.col("width")))
-    return rows.select("id", key.alias("key"), (F.col("first_class") & (F.col("shift") == 0)).alias("own"), "i", F.lit(-1).alias("shorter"))
+    return rows.select("id", key.alias("key"), (F.col("first_class") & (F.col("shift") == 0)).alias("own"), "i", F.lit(-1).alias("shorter"), F.col("start").cast("int").alias("start"), "width")
 
 
 def keyed_lines(lines: DataFrame, edits: int | None) -> DataFrame:
-    """(id, key, own, i, shorter): distinct lines under all their keys, for a fixed number of edits or for what allowed() gives."""
+    """(id, key, own, i, shorter, start, width): distinct lines under all their keys, for a fixed number of edits or for what allowed() gives."""
     if edits is not None:
         return even_keys(lines, edits, F.lit(True))
     two = 2 * CHARS_PER_EDIT
@@ -205,25 +211,66 @@ def worth_a_look(members: DataFrame) -> DataFrame:
     return found.filter("a <> b and held").select("key")
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS is in the line, in one number for each group of them."""
-    most, groups = (1 << BITS_A_LETTER) - 1, []
-    for group in LETTERS:
-        found = F.lit(0).cast("long")
-        for i, x in enumerate(group):
-            n = F.least(F.lit(most), F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))))
-            found = found.bitwiseOR(F.shiftleft(n.cast("long"), BITS_A_LETTER * i))
-        groups.append(found.alias(f"g{len(groups)}"))
-    return F.struct(*groups)
+def counted(text: Column, side: str) -> list[Column]:
+    """A text's length and how often each of LETTERS is in it, and any other character, in one number for each group of them."""
+    most, found = (1 << BITS_A_LETTER - 1) - 1, [F.length(text).alias(f"{side}_n")]
+    for g, group in enumerate(LETTERS):
+        each = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in group]
+        if g == len(LETTERS) - 1:
+            each.append(F.length(F.translate(text, "".join(LETTERS), "")))
+        counts = F.lit(0).cast("long")
+        for i, n in enumerate(each):
+            counts = counts.bitwiseOR(F.shiftleft(F.least(F.lit(most), n).cast("long"), BITS_A_LETTER * i))
+        found.append(counts.alias(f"{side}_{g}"))
+    return found
+
+
+def sides(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """CARRY and SIDES of members under keys: i, and what stands before and behind the key's characters, as lengths and counts of letters.
+
+    Of a near pair's shared segments there is one, the i-th, with i edits at
+    most before it and the other allowed ones behind it (see wide_keys()), so
+    the two sides are held against each other on their own.
+    """
+    cut = members.join(lines.select("id", "line"), "id")
+    cut = cut.select("*", once(F.struct(F.expr("substring(line, 1, start - 1)").alias("a"), F.expr("substring(line, start + width)").alias("b"))).alias("_s"))
+    return cut.select("key", *CARRY, "i", *counted(F.col("_s.a"), "before"), *counted(F.col("_s.b"), "behind"))
+
+
+def undivided(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """CARRY and SIDES of members under keys that are not told apart by their place: the whole line stands behind them."""
+    whole = lines.select("id", *counted(F.col("line"), "behind"))
+    nothing = [F.lit(0).alias("i"), F.lit(0).alias("before_n"), *(F.lit(0).cast("long").alias(f"before_{g}") for g in range(len(LETTERS)))]
+    return members.join(whole, "id").withColumns({c: x for c, x in zip(SIDES, nothing)}).select("key", *CARRY, *SIDES)
 
 
 def may_be_near(edits: int | None) -> str:
-    """Condition on lengths and counts of letters that lines within `edits` edits fulfil."""
+    """Condition on lengths and counts of letters that lines within `edits` edits fulfil under one of the keys they share.
+
+    An edit gives one side a character more than the other at most. Counts are
+    subtracted six at a time: a free bit set above each keeps them apart, and
+    what is left of it tells which differences are not negative. Their sum is
+    the remainder by 2 ** BITS_A_LETTER - 1 (less, if it is that much, which
+    only lets more pairs pass).
+    """
     most = str(edits) if edits is not None else f"least({MOST_EDITS}, floor(least(size, _size) / {CHARS_PER_EDIT}))"
-    mask = (1 << BITS_A_LETTER) - 1
-    count = lambda side, g, i: f"(shiftright({side}.g{g}, {BITS_A_LETTER * i}) & {mask}L)"
-    off = " + ".join(f"abs({count('letters', g, i)} - {count('_letters', g, i)})" for g, group in enumerate(LETTERS) for i in range(len(group)))
-    return f"abs(size - _size) <= {most} and {off} <= 2 * {most} - abs(size - _size)"
+
+    def more(x: str, y: str) -> str:
+        """How many letters x has that y has not."""
+        off = [f"({x}_{g}_f - {y}_{g})" for g in range(len(LETTERS))]
+        return " + ".join(f"({o} & (({o} & {FREE}L) - shiftright({o} & {FREE}L, {BITS_A_LETTER - 1}))) % {(1 << BITS_A_LETTER) - 1}L" for o in off)
+
+    def side(x: str, most: str) -> str:
+        return f"abs({x}_n - _{x}_n) <= {most} and {more(x, f'_{x}')} <= {most} and {more(f'_{x}', x)} <= {most}"
+
+    return f"i = _i and abs(size - _size) <= {most} and {side('behind', most + ' - i')} and {side('before', 'i')}"
+
+
+def compared(members: DataFrame, prefix: str = "") -> list[Column]:
+    """What may_be_near() reads, never null, so that the join's condition is short enough to be compiled."""
+    known = lambda x: F.coalesce(F.col(x), F.lit(0).cast(dict(members.dtypes)[x]))
+    free = [known(x).bitwiseOR(F.lit(FREE)).alias(f"{prefix}{x}_f") for x in SIDES if x[-1].isdigit()]
+    return [*(known(x).alias(f"{prefix}{x}") for x in ["n", "size", *SIDES]), F.coalesce("own", F.lit(False)).alias(f"{prefix}own"), *free]
 
 
 def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
@@ -238,7 +285,6 @@ def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
     compared with each other.
     """
     known = lines.select("id", "line", F.col("size").alias("n"))
-    carry = ["id", "own", "at", "size", "letters"]
     _, first = segment(F.col("n") - F.col("shorter"), F.lit(0), 1)
     _, last = segment(F.col("n") - F.col("shorter"), F.lit(1), 1)
     size = F.when(F.col("i") == 0, first).otherwise(last)
@@ -254,37 +300,35 @@ def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
         behind = F.col("_r") - F.col("hi")
         before = F.substring(F.col("_rest"), F.lit(1), F.col("lo"))
         after = F.substring(F.col("_rest"), F.length("_rest") - behind + 1, behind)
-        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), *carry, "i", "shorter", "lo", "hi")
+        cut = cut.select(F.xxhash64("key", "lo", before, F.lit(1), after).alias("key"), *CARRY, "i", "shorter", "lo", "hi")
         cut = staged(cut, "cut")
-        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", "id", "at", "size", "letters", "i", "shorter", "lo", "hi").agg(F.max("own").alias("own"))
+        cut = cut.join(worth_a_look(cut), "key", "left_semi").groupBy("key", "id", "at", "size", "i", "shorter", "lo", "hi").agg(F.max("own").alias("own"))
         cut = staged(cut, "cut")
         heavy = cut.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("w")).filter((F.col("n") > SMALL) & (F.col("w") > 1))
         heavy = staged(heavy.select("key"), "heavy")
-        small = cut.join(heavy, "key", "left_anti").select("key", *carry)
+        small = cut.join(heavy, "key", "left_anti").select("key", *CARRY)
         done = small if done is None else done.union(small)
         if heavy.isEmpty():
             return staged(done, "narrowed")
         large, parts = cut.join(heavy, "key", "left_semi"), MANY
 
 
-def by_length(members: DataFrame) -> DataFrame:
-    """For more edits: keys of many lines, cut by the lines' length.
+def by_length(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """For more edits: keys of many lines, cut by the lines' length, and with their sides.
 
     Near lines' lengths differ by MOST_EDITS at most. So a line goes on under
     the key with its step of that many lengths, and under those with the steps
     before and behind, as one that only looks up the lines there.
     """
     heavy = staged(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "heavy")
-    carry = ["id", "own", "at", "size", "letters"]
-    small = members.join(heavy, "key", "left_anti").select("key", *carry)
+    small = undivided(members.join(heavy, "key", "left_anti"), lines)
     if heavy.isEmpty():
         return small
-    step = F.floor(F.col("size") / MOST_EDITS)
-    cut = members.join(heavy, "key", "left_semi").withColumn("_step", step)
+    cut = sides(members.join(heavy, "key", "left_semi"), lines).withColumn("_step", F.floor(F.col("size") / MOST_EDITS))
     cut = cut.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at", "size", "letters")
+    cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at", "size", *SIDES)
     cut = staged(cut, "cut")
-    return staged(small.union(cut.join(worth_a_look(cut), "key", "left_semi")), "narrowed")
+    return small.unionByName(cut.join(worth_a_look(cut), "key", "left_semi"))
 
 
 def once(value: Column) -> Column:
@@ -398,19 +442,19 @@ def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
     # only the lines that share a key are read from here on
     wanted = staged(members.select("id").distinct(), "wanted")
     known = lines.join(broadcast_if_small(wanted, WANTED_ROWS), "id", "left_semi")
-    known = staged(known.select("id", F.struct(*AT).alias("at"), "line", "size", letter_counts(F.col("line")).alias("letters")), "known")
-    facts = known.select("id", "at", "size", "letters")
+    known = staged(known.select("id", F.struct(*AT).alias("at"), "line", "size"), "known")
+    facts = known.select("id", "at", "size")
     if edits is None:
         one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
-        members = by_length(more.join(facts, "id"))
+        members = by_length(more.join(facts, "id"), known)
         if not one.isEmpty():
-            members = narrowed(one.join(facts, "id"), known).union(members)
+            members = undivided(narrowed(one.join(facts, "id"), known), known).unionByName(members)
     else:
         members = members.join(facts, "id")
-        members = narrowed(members, known) if edits == 1 else members.select("key", "id", "own", "at", "size", "letters")
+        members = undivided(narrowed(members, known) if edits == 1 else members, known)
 
-    # a line comes once under a key, held as a segment if it is so anywhere; members of a key are numbered in order
-    members = members.groupBy("key", "id", "at", "size", "letters").agg(F.max("own").alias("own"))
+    # a line comes once under a key for each pair of sides, held as a segment if it is so anywhere; members of a key are numbered in order
+    members = members.groupBy("key", "id", "at", "size", *SIDES).agg(F.max("own").alias("own"))
     order = F.row_number().over(Window.partitionBy("key").orderBy("at"))
     members = staged(members.withColumn("n", order), "ranked")
     most = members.agg(F.max("n")).first()[0] or 0
@@ -419,8 +463,9 @@ def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
     while done < most - 1:
         # the next `each` members of a key lead, and are compared with those behind them
         leaders = members.filter((F.col("n") > done) & (F.col("n") <= done + each))
-        leaders = leaders.select("key", F.col("id").alias("lead"), F.col("n").alias("_n"), F.col("own").alias("_own"), F.col("size").alias("_size"), F.col("letters").alias("_letters"))
-        met = open_lines.filter(F.col("n") > done + 1).join(leaders, "key").filter(f"n > _n and (own or _own) and {may_be_near(edits)}")
+        leaders = leaders.select("key", F.col("id").alias("lead"), *compared(members, "_"))
+        later = open_lines.filter(F.col("n") > done + 1).select("key", "id", *compared(members))
+        met = later.join(leaders, "key").filter(f"n > _n and id <> lead and (own or _own) and {may_be_near(edits)}")
         met = staged(met.select("id", "lead").distinct(), "met")
         if not met.isEmpty():
             both = met.join(known.select("id", "line"), "id").join(known.select(F.col("id").alias("lead"), F.col("line").alias("other")), "lead")
