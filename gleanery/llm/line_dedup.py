@@ -41,12 +41,18 @@ SMALL, FEW, MANY = 8, 4, 16
 WANTED_ROWS = 500_000
 #: Classes of the lines of MOST_EDITS that one doubling of the length is cut into.
 STEPS_A_DOUBLING = 3
+#: From so many characters of a segment on, of how many grams of it one is the key; a segment of g characters has w grams of g - w + 1 (16 numbers are kept for them).
+GRAMS = [(13, 2), (15, 4), (22, 8)]
 #: Letters that are counted in a text, six in a number, the last with all other characters; an edit changes two of the counts by one at most. The highest bit of each is free for comparisons.
 LETTERS, BITS_A_LETTER = ["etaoin", "shrdlu", "cmwfgp", "ybvkx"], 10
 #: Characters of the pieces of a line that are sought in the other line before it is compared.
 PIECE = 3
-#: Characters after which a comparison ends if no value of the band's column is small enough.
-LOOK = 24
+#: Pieces that are sought at first, and characters up to which all of them are.
+SOUGHT, SHORT = 48, 600
+#: Keys of many lines are cut by length where that parts lines of so many characters' difference.
+SPREAD = 96
+#: Characters after each of which a comparison ends if no value of the band's column is small enough.
+LOOKS = [24, 72, 216]
 #: Steps in which the common ends of two lines are found; what is common beyond their sum is compared like the rest.
 STEPS = [1 << i for i in range(15, -1, -1)]
 #: The free bits of a number of counts.
@@ -140,8 +146,45 @@ def allowed(n: Column) -> Column:
     return F.least(F.lit(MOST_EDITS), F.floor(n / CHARS_PER_EDIT)).cast("int")
 
 
+def classed(lines: DataFrame, *more: str) -> DataFrame:
+    """lines of two edits or more with their class, k edits and least length m, and with the class below, kb and mb, in which they are looked up if `under`."""
+    top = CHARS_PER_EDIT * MOST_EDITS
+    n = F.col("size")
+    bound = lambda step: F.floor(F.pow(F.lit(2.0), step / STEPS_A_DOUBLING) * top).cast("int")
+    # the floor of a logarithm may be one off, so the bounds decide
+    guess = F.floor(F.log2(n / F.lit(float(top))) * STEPS_A_DOUBLING)
+    lines = lines.select("id", "size", *more, guess.alias("_g"))
+    step = F.when(n >= bound(F.col("_g") + 1), F.col("_g") + 1).when(n < bound(F.col("_g")), F.col("_g") - 1).otherwise(F.col("_g"))
+    lines = lines.select("id", "size", *more, step.alias("_g"))
+    least = F.when(n >= top, bound(F.col("_g"))).otherwise(allowed(n) * CHARS_PER_EDIT)
+    below = F.when((n >= top) & (F.col("_g") > 0), bound(F.col("_g") - 1)).otherwise(least - CHARS_PER_EDIT)
+    found = lines.select("id", "size", *more, allowed(n).alias("k"), least.cast("int").alias("m"), below.cast("int").alias("mb"))
+    found = found.withColumn("kb", allowed(F.col("mb")))
+    return found.withColumn("under", (F.col("kb") >= 2) & (n - F.col("kb") < F.col("m")))
+
+
+def spots(rows: DataFrame, *more: str) -> DataFrame:
+    """Of rows with a class and `which`, 1 for the class below, and i: the class, and where the i-th segment's grams stand.
+
+    first: of the first gram of the first place that the segment can be shifted
+    to; far: the most that it can be shifted; grams, gram: how many grams a
+    segment has, and their characters; width: the segment's.
+    """
+    own = F.col("which") == 0
+    rows = rows.select(*more, "size", "which", "i", F.when(own, F.col("k")).otherwise(F.col("kb")).alias("k"), F.when(own, F.col("m")).otherwise(F.col("mb")).alias("m"))
+    rows = rows.withColumn("width", F.floor(F.col("m") / (F.col("k") + 1)).cast("int"))
+    grams = F.lit(1)
+    for least, count in GRAMS:
+        grams = F.when(F.col("width") >= least, count).otherwise(grams)
+    far = F.least(F.col("i"), F.col("k") - F.col("i"))
+    start = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("width")).otherwise(F.col("size") - (F.col("k") + 1 - F.col("i")) * F.col("width"))
+    rows = rows.withColumns({"grams": grams, "far": far.cast("int"), "first": (start + 1 - far).cast("int")})
+    parts = F.struct("grams", "far", "first", "width", (F.col("width") - F.col("grams") + 1).alias("gram"))
+    return rows.select(*more, "size", "i", "which", "m", once(parts).alias("_s")).select(*more, "size", "i", "which", "m", "_s.*")
+
+
 def wide_keys(lines: DataFrame) -> DataFrame:
-    """Like even_keys(), for all lines of two edits or more at once; `shorter` is -1.
+    """(key, place) for all lines of two edits or more at once; place tells the line and where the key is in it, see unpacked().
 
     A class is of one number k of edits and the least length m of its lines;
     those of MOST_EDITS have STEPS_A_DOUBLING values of m for each doubling. The k + 1 segments of a class have equal
@@ -151,51 +194,76 @@ def wide_keys(lines: DataFrame) -> DataFrame:
     the other line is off by no more than that from the nearer end. The longer
     line may be of the next class, so a line near the lower end of its class is
     looked up in the class below too.
-    """
-    top = CHARS_PER_EDIT * MOST_EDITS
-    n = F.col("size")
-    bound = lambda step: F.floor(F.pow(F.lit(2.0), step / STEPS_A_DOUBLING) * top).cast("int")
-    # the floor of a logarithm may be one off, so the bounds decide
-    guess = F.floor(F.log2(n / F.lit(float(top))) * STEPS_A_DOUBLING)
-    lines = lines.select("id", even_bytes(), "size", guess.alias("_g"))
-    step = F.when(n >= bound(F.col("_g") + 1), F.col("_g") + 1).when(n < bound(F.col("_g")), F.col("_g") - 1).otherwise(F.col("_g"))
-    lines = lines.select("id", "line", "size", step.alias("_g"))
-    least = F.when(n >= top, bound(F.col("_g"))).otherwise(allowed(n) * CHARS_PER_EDIT)
-    below = F.when((n >= top) & (F.col("_g") > 0), bound(F.col("_g") - 1)).otherwise(least - CHARS_PER_EDIT)
-    classed = lines.select("id", "line", "size", allowed(n).alias("k"), least.cast("int").alias("m"), below.cast("int").alias("mb"))
-    classed = classed.withColumn("kb", allowed(F.col("mb")))
-    classed = classed.withColumn("under", (F.col("kb") >= 2) & (n - F.col("kb") < F.col("m")))
 
-    def places(which: int, k: int) -> list[tuple[int, int, int]]:
-        return [(which, i, shift) for i in range(k + 1) for shift in range(-min(i, k - i), min(i, k - i) + 1)]
-
-    codes = None
+    A segment's key is not the segment but one of its grams (see GRAMS), that
+    with the largest hash, the last of equal ones. What is equal as a segment
+    has the same gram at the same place; and a segment that is shifted by a
+    character mostly has the same one too, so that most shifts need no key.
+    """
+    codes = lambda which, k: [which << 4 | i for i in range(k + 1)]
+    rows, chosen = classed(lines.select("id", "size", even_bytes()), "line"), None
     for k in range(2, MOST_EDITS + 1):
         for kb in {k - 1, k if k == MOST_EDITS else k - 1}:
-            case = (F.col("k") == k) & F.col("under") & (F.col("kb") == kb)
             if kb >= 2:
-                both = coded(places(0, k) + places(1, kb))
-                codes = F.when(case, both) if codes is None else codes.when(case, both)
+                case, both = (F.col("k") == k) & F.col("under") & (F.col("kb") == kb), F.array(*map(F.lit, codes(0, k) + codes(1, kb)))
+                chosen = F.when(case, both) if chosen is None else chosen.when(case, both)
     for k in range(2, MOST_EDITS + 1):
-        codes = codes.when(F.col("k") == k, coded(places(0, k)))
-    rows = classed.select("id", "line", F.col("size").alias("n"), "k", "m", "mb", "kb", F.explode(codes).alias("c"))
-    own = F.shiftright("c", 16) == 0
-    rows = rows.select("id", "line", "n", own.alias("first_class"), F.when(own, F.col("k")).otherwise(F.col("kb")).alias("k"), F.when(own, F.col("m")).otherwise(F.col("mb")).alias("m"), F.shiftright("c", 8).bitwiseAND(F.lit(255)).alias("i"), (F.col("c").bitwiseAND(F.lit(255)) - 64).alias("shift"))
-    rows = rows.withColumn("width", F.floor(F.col("m") / (F.col("k") + 1)).cast("int"))
-    start = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("width")).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * F.col("width"))
-    rows = rows.withColumn("start", start + 1 + F.col("shift")).filter("start >= 1 and start + width - 1 <= n")
-    key = hashed(F.lit(-1), F.col("m"), F.col("i"), cut(F.col("start"), F.col("width")))
-    return rows.select("id", key.alias("key"), (F.col("first_class") & (F.col("shift") == 0)).alias("own"), "i", F.lit(-1).alias("shorter"), F.col("start").cast("int").alias("start"), "width")
+        chosen = chosen.when(F.col("k") == k, F.array(*map(F.lit, codes(0, k))))
+    rows = rows.select("*", F.explode(chosen).alias("_c"))
+    rows = rows.withColumns({"which": F.shiftright("_c", 4), "i": F.col("_c").bitwiseAND(F.lit(15))})
+    rows = spots(rows, "id", "line")
+
+    far, most = MOST_EDITS // 2, max(count for _, count in GRAMS)
+    # a gram's hash, with its number in the four bits below
+    one = lambda j: F.xxhash64(cut(F.col("first") + j, F.col("gram"))).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(j).cast("long"))
+    rows = rows.select("*", once(F.array(*(F.when(F.lit(j) < F.col("far") * 2 + F.col("grams"), one(j)) for j in range(2 * far + most)))).alias("_1"))
+    for n in (2, 4, 8):
+        # largest of n grams in a row, where there are so many
+        last, length = F.col(f"_{n // 2}"), 2 * far + most - n + 1
+        wider = F.array(*(F.greatest(F.get(last, F.lit(j)), F.get(last, F.lit(j + n // 2))) for j in range(length)))
+        rows = rows.select("*", once(F.when(F.col("grams") >= n, wider).otherwise(last)).alias(f"_{n}"))
+    fits = lambda t: (F.lit(t) <= F.col("far") * 2) & (F.col("first") + t >= 1) & (F.col("first") + t + F.col("width") - 1 <= F.col("size"))
+    rows = rows.select("*", once(F.array(*(F.when(fits(t), F.get("_8", F.lit(t))) for t in range(2 * far + 1)))).alias("_k"))
+    held = F.get("_k", F.col("far"))
+    rows = rows.select("id", "which", "i", "m", held.alias("_held"), F.explode(F.array_distinct("_k")).alias("_g")).filter("_g is not null")
+    key = hashed(F.lit(-1), F.col("m"), F.col("i"), F.shiftright("_g", 4))
+    own = ((F.col("which") == 0) & (F.col("_g") == F.coalesce("_held", F.lit(0)))).cast("long")
+    place = F.shiftleft("id", 10).bitwiseOR(F.col("_g").bitwiseAND(F.lit(15)) * 32 + F.col("i") * 2 + F.col("which") * 512 + own)
+    return rows.select(key.alias("key"), place.alias("place"))
+
+
+def unpacked(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, id, own, i, shorter, start, width) of members (key, place) of wide_keys(); start, width: where the gram stands in the line, from 1."""
+    bits = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(F.lit(mask)).cast("int")
+    found = members.select("key", F.shiftright("place", 10).alias("id"), (bits(0, 1) == 1).alias("own"), bits(1, 15).alias("i"), bits(5, 15).alias("_j"), bits(9, 1).alias("which"))
+    found = spots(found.join(classed(known), "id"), "key", "id", "own", "_j")
+    return found.select("key", "id", "own", "i", F.lit(-1).alias("shorter"), (F.col("first") + F.col("_j")).alias("start"), F.col("gram").alias("width"))
+
+
+def wide_members(lines: DataFrame) -> DataFrame:
+    """(key, place) of the keys of several lines, one of which holds the key in a segment of its own.
+
+    Keys are made and dealt out once; what is shared is found where they lie.
+    """
+    # the filter keeps all rows; without it Spark plans the join's shuffle as one of another kind, and deals the keys out twice
+    dealt = wide_keys(lines).repartition("key")
+    of = F.shiftright("place", 10)
+    shared = dealt.groupBy("key").agg(F.min(of).alias("a"), F.max(of).alias("b"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("held"))
+    shared = shared.filter("a <> b and held = 1").select("key")
+    return dealt.filter(F.monotonically_increasing_id() >= 0).join(shared.hint("shuffle_hash"), "key", "left_semi")
 
 
-def keyed_lines(lines: DataFrame, edits: int | None) -> DataFrame:
-    """(id, key, own, i, shorter, start, width): distinct lines under all their keys, for a fixed number of edits or for what allowed() gives."""
-    if edits is not None:
-        return even_keys(lines, edits, F.lit(True))
+def one_edit_keys(lines: DataFrame) -> DataFrame:
+    """even_keys() of the lines that may be near others within one edit."""
     two = 2 * CHARS_PER_EDIT
     # the longer line of a pair with one edit may be of the next class; what it holds itself is then found in that
-    one = even_keys(lines.filter(F.col("size").between(CHARS_PER_EDIT, two)), 1, F.col("n") < two)
-    return one.unionByName(wide_keys(lines.filter(F.col("size") >= two)))
+    return even_keys(lines.filter(F.col("size").between(CHARS_PER_EDIT, two)), 1, F.col("n") < two)
+
+
+def even_members(keyed: DataFrame) -> DataFrame:
+    """even_keys() of several lines, one of which holds the key as a segment."""
+    shared = staged(shared_keys(keyed), "shared")
+    return staged(keyed.join(broadcast_if_small(shared, WANTED_ROWS), "key", "left_semi"), "members")
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -211,17 +279,26 @@ def worth_a_look(members: DataFrame) -> DataFrame:
     return found.filter("a <> b and held").select("key")
 
 
-def counted(text: Column, side: str) -> list[Column]:
-    """A text's length and how often each of LETTERS is in it, and any other character, in one number for each group of them."""
-    most, found = (1 << BITS_A_LETTER - 1) - 1, [F.length(text).alias(f"{side}_n")]
+def letters(text: Column) -> Column:
+    """How often each of LETTERS is in a text, and its length, as an array."""
+    each = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(x), F.lit(""))) for group in LETTERS for x in group]
+    return F.array(*each, F.length(text))
+
+
+def counted(counts: str, side: str) -> list[Column]:
+    """A text's length and its letters() in one number for each group of LETTERS, and any other character with the last of these."""
+    most, n = (1 << BITS_A_LETTER - 1) - 1, sum(map(len, LETTERS))
+    size = F.get(counts, F.lit(n))
+    found, i = [size.alias(f"{side}_n")], 0
     for g, group in enumerate(LETTERS):
-        each = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in group]
+        each = [F.get(counts, F.lit(i + j)) for j in range(len(group))]
+        i += len(group)
         if g == len(LETTERS) - 1:
-            each.append(F.length(F.translate(text, "".join(LETTERS), "")))
-        counts = F.lit(0).cast("long")
-        for i, n in enumerate(each):
-            counts = counts.bitwiseOR(F.shiftleft(F.least(F.lit(most), n).cast("long"), BITS_A_LETTER * i))
-        found.append(counts.alias(f"{side}_{g}"))
+            each.append(size - F.aggregate(F.slice(counts, 1, n), F.lit(0), lambda x, y: x + y))
+        numbers = F.lit(0).cast("long")
+        for j, x in enumerate(each):
+            numbers = numbers.bitwiseOR(F.shiftleft(F.least(F.lit(most), x).cast("long"), BITS_A_LETTER * j))
+        found.append(numbers.alias(f"{side}_{g}"))
     return found
 
 
@@ -234,12 +311,13 @@ def sides(members: DataFrame, lines: DataFrame) -> DataFrame:
     """
     cut = members.join(lines.select("id", "line"), "id")
     cut = cut.select("*", once(F.struct(F.expr("substring(line, 1, start - 1)").alias("a"), F.expr("substring(line, start + width)").alias("b"))).alias("_s"))
-    return cut.select("key", *CARRY, "i", *counted(F.col("_s.a"), "before"), *counted(F.col("_s.b"), "behind"))
+    cut = cut.select("key", *CARRY, "i", once(F.struct(letters(F.col("_s.a")).alias("a"), letters(F.col("_s.b")).alias("b"))).alias("_n"))
+    return cut.select("key", *CARRY, "i", *counted("_n.a", "before"), *counted("_n.b", "behind"))
 
 
 def undivided(members: DataFrame, lines: DataFrame) -> DataFrame:
     """CARRY and SIDES of members under keys that are not told apart by their place: the whole line stands behind them."""
-    whole = lines.select("id", *counted(F.col("line"), "behind"))
+    whole = lines.select("id", once(letters(F.col("line"))).alias("_n")).select("id", *counted("_n", "behind"))
     nothing = [F.lit(0).alias("i"), F.lit(0).alias("before_n"), *(F.lit(0).cast("long").alias(f"before_{g}") for g in range(len(LETTERS)))]
     return members.join(whole, "id").withColumns({c: x for c, x in zip(SIDES, nothing)}).select("key", *CARRY, *SIDES)
 
@@ -314,21 +392,24 @@ def narrowed(members: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def by_length(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """For more edits: keys of many lines, cut by the lines' length, and with their sides.
+    """For more edits: members of keys of many lines with their sides, and the keys cut by the lines' length where lengths differ much.
 
     Near lines' lengths differ by MOST_EDITS at most. So a line goes on under
     the key with its step of that many lengths, and under those with the steps
-    before and behind, as one that only looks up the lines there.
+    before and behind, as one that only looks up the lines there. Where all
+    lengths are much the same this would only repeat the lines.
     """
-    heavy = staged(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "heavy")
+    heavy = members.groupBy("key").agg(F.count("*").alias("n"), (F.max("size") - F.min("size") >= SPREAD).alias("spread"))
+    heavy = staged(heavy.filter(F.col("n") > SMALL).select("key", "spread"), "heavy")
     small = undivided(members.join(heavy, "key", "left_anti"), lines)
     if heavy.isEmpty():
         return small
-    cut = sides(members.join(heavy, "key", "left_semi"), lines).withColumn("_step", F.floor(F.col("size") / MOST_EDITS))
+    cut = sides(members.join(heavy.filter("spread").select("key"), "key", "left_semi"), lines).withColumn("_step", F.floor(F.col("size") / MOST_EDITS))
     cut = cut.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     cut = cut.select(F.xxhash64("key", F.col("_step") + F.col("_by")).alias("key"), "id", (F.col("own") & (F.col("_by") == 0)).alias("own"), "at", "size", *SIDES)
     cut = staged(cut, "cut")
-    return small.unionByName(cut.join(worth_a_look(cut), "key", "left_semi"))
+    even = sides(members.join(heavy.filter("not spread").select("key"), "key", "left_semi"), lines)
+    return small.unionByName(cut.join(worth_a_look(cut), "key", "left_semi")).unionByName(even)
 
 
 def once(value: Column) -> Column:
@@ -342,10 +423,11 @@ def common_start(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer)
 
 
-def missing_pieces(a: str, b: str, edits: int) -> Column:
-    """How many pieces of a are nowhere in b within `edits` places of their own; each of them takes an edit, as they don't overlap."""
+def missing_pieces(a: str, b: str, edits: int, sought: int | None = None) -> Column:
+    """How many pieces of a (of about `sought` of them, if given) are nowhere in b within `edits` places of their own; each of them takes an edit, as they don't overlap."""
     window = f"substring({b}, greatest(1, {PIECE} * i + 1 - {edits}), {PIECE + edits} + least({edits}, {PIECE} * i))"
-    pieces = f"sequence(0, greatest(0, cast(length({a}) div {PIECE} as int) - 1))"
+    step = 1 if sought is None else f"greatest(1, cast(length({a}) div {PIECE * sought} as int))"
+    pieces = f"sequence(0, greatest(0, cast(length({a}) div {PIECE} as int) - 1), {step})"
     return F.expr(f"size(filter({pieces}, i -> instr({window}, substring({a}, {PIECE} * i + 1, {PIECE})) = 0))")
 
 
@@ -374,7 +456,9 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int, most: Column | None
     # most pairs are variants of one line that differ in several places, which pieces tell without a step for each character
     near = near.select("*", once(F.struct(*(F.expr(f"substring(_s.{y}, 1, length(_s.{y}) - _q)").alias(y) for y in ("a", "b")))).alias("_m"))
     bound = F.lit(edits) if most is None else most
-    near = near.filter(missing_pieces("_m.a", "_m.b", edits) <= bound)
+    near = near.filter(missing_pieces("_m.a", "_m.b", edits, SOUGHT) <= bound)
+    # a character's place is found from a text's start, so all pieces of long lines would take the square of their length
+    near = near.filter((F.length("_m.a") <= PIECE * SOUGHT) | (F.length("_m.a") > SHORT) | (missing_pieces("_m.a", "_m.b", edits) <= bound))
     rest = lambda y: F.expr(f"if(_m.{y} <> '', split(_m.{y}, ''), cast(array() as array<string>))").alias(y)
     near = near.select("*", once(F.struct(rest("a"), rest("b"))).alias("_r"))
 
@@ -386,6 +470,9 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int, most: Column | None
             found = bit if found is None else found.bitwiseOR(bit)
         return found
 
+    def matches(some: Column, done: int) -> Column:
+        return F.transform(some, lambda c, j: equal(c, j + done))
+
     def step(state: Column, x: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
         d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full)
@@ -403,18 +490,21 @@ def distances(pairs: DataFrame, a: str, b: str, edits: int, most: Column | None
 
     start = F.struct(long((1 << width) - (1 << edits)).alias("vp"), long(0).alias("vn"), long(edits).alias("v"))
     # most lines that are not near differ too much after some characters, so the others alone are compared to their ends
-    head = F.aggregate(F.transform(F.slice("_r.b", 1, LOOK), equal), start, step)
-    near = near.select("*", once(head).alias("_h"))
-    least = F.least(*(F.col("_h.v") - F.bit_count(F.col("_h.vp").bitwiseAND(long(above))) + F.bit_count(F.col("_h.vn").bitwiseAND(long(above))) for above in (last - (1 << d) for d in range(width))))
-    near = near.filter(least <= bound)
-    tail = F.slice("_r.b", LOOK + 1, F.greatest(F.lit(0), F.size("_r.b") - LOOK))
-    end = F.aggregate(F.transform(tail, lambda c, j: equal(c, j + LOOK)), F.col("_h"), step)
-    near = near.select("*", once(end).alias("_e"))
+    near, done = near.select("*", once(start).alias("_e")), 0
+    for end in LOOKS:
+        some = F.slice("_r.b", done + 1, end - done)
+        state = F.aggregate(matches(some, done), F.col("_e"), step)
+        near = near.select(*(c for c in near.columns if c != "_e"), once(F.when(F.size("_r.b") > done, state).otherwise(F.col("_e"))).alias("_e"))
+        least = F.least(*(F.col("_e.v") - F.bit_count(F.col("_e.vp").bitwiseAND(long(above))) + F.bit_count(F.col("_e.vn").bitwiseAND(long(above))) for above in (last - (1 << d) for d in range(width))))
+        near, done = near.filter(least <= bound), end
+    tail = F.slice("_r.b", done + 1, F.greatest(F.lit(0), F.size("_r.b") - done))
+    end = F.aggregate(matches(tail, done), F.col("_e"), step)
+    near = near.select(*(c for c in near.columns if c != "_e"), once(end).alias("_e"))
     # from the band's last row up to a's last one
     low = F.size("_r.a") - F.size("_r.b") + edits
     mask = F.expr(f"{last - 1}L & ~(shiftleft(1L, {edits} + size(_r.a) - size(_r.b)) - 1L)")
     value = F.col("_e.v") - F.bit_count(F.col("_e.vp").bitwiseAND(mask)) + F.bit_count(F.col("_e.vn").bitwiseAND(mask))
-    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_n", "_p", "_s", "_v", "_q", "_m", "_r", "_h", "_e")
+    return near.withColumn("_distance", F.when((low >= 0) & (value <= edits), value)).drop("_n", "_p", "_s", "_v", "_q", "_m", "_r", "_e")
 
 
 def bit_parallel(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
@@ -434,24 +524,23 @@ def near_pairs(pairs: DataFrame, a: str, b: str, edits: int | None) -> DataFrame
 def near_earlier(lines: DataFrame, edits: int | None) -> DataFrame:
     """(id) of the lines with an unequal line near them that stands earlier."""
     none = lines.sparkSession.createDataFrame([], "id long")
-    keyed = keyed_lines(lines, edits)
-    shared = staged(shared_keys(keyed), "shared")
-    members = staged(keyed.join(broadcast_if_small(shared, WANTED_ROWS), "key", "left_semi"), "members")
-    if members.isEmpty():
-        return none
+    one = even_members(one_edit_keys(lines) if edits is None else even_keys(lines, edits, F.lit(True)))
+    more = staged(wide_members(lines.filter(F.col("size") >= 2 * CHARS_PER_EDIT)), "members") if edits is None else None
+    ids = one.select("id") if more is None else one.select("id").union(more.select(F.shiftright("place", 10)))
     # only the lines that share a key are read from here on
-    wanted = staged(members.select("id").distinct(), "wanted")
+    wanted = staged(ids.distinct(), "wanted")
+    if wanted.isEmpty():
+        return none
     known = lines.join(broadcast_if_small(wanted, WANTED_ROWS), "id", "left_semi")
     known = staged(known.select("id", F.struct(*AT).alias("at"), "line", "size"), "known")
     facts = known.select("id", "at", "size")
-    if edits is None:
-        one, more = members.filter("shorter >= 0"), members.filter("shorter < 0")
-        members = by_length(more.join(facts, "id"), known)
+    if more is not None:
+        members = by_length(staged(unpacked(more, known.select("id", "size")).join(facts, "id"), "members"), known)
         if not one.isEmpty():
             members = undivided(narrowed(one.join(facts, "id"), known), known).unionByName(members)
     else:
-        members = members.join(facts, "id")
-        members = undivided(narrowed(members, known) if edits == 1 else members, known)
+        one = one.join(facts, "id")
+        members = undivided(narrowed(one, known) if edits == 1 else one, known)
 
     # a line comes once under a key for each pair of sides, held as a segment if it is so anywhere; members of a key are numbered in order
     members = members.groupBy("key", "id", "at", "size", *SIDES).agg(F.max("own").alias("own"))

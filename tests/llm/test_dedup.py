@@ -253,3 +253,40 @@ def test_near_with_two_texts_of_one_id(spark):
     assert {j: sorted((r.component_id, r.kept) for r in got if r.doc_id == j) for j in want} == want
     sizes = {g: sum(r.group == g for r in got) for g in {r.group for r in got}}
     assert set(sizes.values()) == {2} and len(sizes) == 40
+
+
+def test_few_keys_for_a_line(spark):
+    pick = random.Random(5)
+    lines = ["".join(pick.choice("abcdefghij klmno") for _ in range(n)) for n in (300, 400, 700, 1000) * 10]
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, size int")
+    assert line_dedup.wide_keys(df).count() < 20 * len(lines)
+
+
+def test_variants_under_a_key_come_once(spark):
+    rows = [(7, i, True, 0, -1, 1, 20, 300 + i % 9, "x" * 20 + "y" * (280 + i % 9)) for i in range(50)]
+    members = spark.createDataFrame([r[:8] for r in rows], "key long, id long, own boolean, i int, shorter int, start int, width int, size int")
+    members = members.withColumn("at", F.struct(F.lit(False).alias("unknown"), F.col("id").alias("first")))
+    lines = spark.createDataFrame([(r[1], r[8], r[7]) for r in rows], "id long, line string, size int")
+    got = line_dedup.by_length(members, lines).collect()
+    assert len(got) == 50 and all((r.before_n, r.behind_n) == (0, r.size - 20) for r in got)
+
+
+def test_near_lines_that_repeat_themselves(spark):
+    pick = random.Random(8)
+    lines = []
+    for n in (33, 70, 129, 200, 300):
+        for unit in ("a", "ab", "-=-", "abcdefgh", "漢字"):
+            base = list((unit * n)[:n])
+            lines.append("".join(base))
+            for edits in (1, 2, 5, 8, 9, 12):
+                own = base.copy()
+                for _ in range(edits):
+                    k = pick.randrange(len(own))
+                    own[k : k + 1] = pick.choice([["x"], [], [own[k], "y"]])
+                lines.append("".join(own))
+    lines = list(dict.fromkeys(lines))
+    pick.shuffle(lines)
+    least = lambda x, y: min(line_dedup.MOST_EDITS, min(len(x), len(y)) // line_dedup.CHARS_PER_EDIT)
+    want = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= least(x, y) and distance(x, y) <= least(x, y) for y in lines[:i])}
+    got = line_dedup.deduplicate(frame(spark, list(enumerate(lines)))).filter("n_near > 0").select("doc_id").collect()
+    assert len(want) > 50 and {r.doc_id for r in got} == want
